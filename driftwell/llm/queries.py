@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.decontamination import benchmark_hits, n_hit
+from driftwell.llm.mixing import mix
 from driftwell.llm.near_duplicates import near_duplicates
 from driftwell.llm.shared import table
+from driftwell.llm.sharding import shards
 
 
 #: A-Z lower-cased, then words as lists.
@@ -44,6 +46,15 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("class_key")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -59,7 +70,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_near_duplicates, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op4_near_duplicates, op5_sharding, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
