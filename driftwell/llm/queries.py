@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.decontamination import benchmark_hits, n_hit
+from driftwell.llm.language_id import identify, learn
 from driftwell.llm.mixing import mix
 from driftwell.llm.near_duplicates import near_duplicates
 from driftwell.llm.shared import table
@@ -55,6 +56,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def id_part(parts: int) -> Column:
+    """The remainder of crc32 of the id as text that deals rows into parts; a null id reads as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = learn(docs.where(id_part(5) != 0))
+    out = identify(docs.select("doc_id", "text"), trees)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", id_part(5) == 0)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -70,7 +83,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op4_near_duplicates, op5_sharding, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op4_near_duplicates, op5_sharding, op8_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
