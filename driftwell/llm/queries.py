@@ -11,6 +11,7 @@ from driftwell.llm.decontamination import benchmark_hits, n_hit
 from driftwell.llm.language_id import identify, learn
 from driftwell.llm.mixing import mix
 from driftwell.llm.near_duplicates import near_duplicates
+from driftwell.llm.repeats import repeated_spans
 from driftwell.llm.shared import table
 from driftwell.llm.sharding import shards
 
@@ -51,6 +52,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -83,7 +90,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op4_near_duplicates, op5_sharding, op8_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op8_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
