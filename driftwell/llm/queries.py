@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.llm.decontamination import benchmark_hits, n_hit
+from driftwell.llm.fingerprints import edited_neighbours
 from driftwell.llm.language_id import identify, learn
 from driftwell.llm.mixing import mix
 from driftwell.llm.near_duplicates import near_duplicates
@@ -75,6 +76,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", id_part(5) == 0)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -90,7 +95,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op8_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
