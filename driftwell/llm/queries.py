@@ -15,6 +15,7 @@ from driftwell.llm.near_duplicates import near_duplicates
 from driftwell.llm.repeats import repeated_spans
 from driftwell.llm.shared import table
 from driftwell.llm.sharding import shards
+from driftwell.llm.toxicity import toxicity
 
 
 #: A-Z lower-cased, then words as lists.
@@ -69,6 +70,12 @@ def id_part(parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(id_part(3) != 1)
+    out = toxicity(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", (id_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = learn(docs.where(id_part(5) != 0))
@@ -95,7 +102,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op6_toxicity, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
