@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.llm import lm_scoring
 from driftwell.llm.decontamination import benchmark_hits, n_hit
 from driftwell.llm.fingerprints import edited_neighbours
 from driftwell.llm.language_id import identify, learn
@@ -54,6 +55,13 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score(docs, *lm_scoring.learn(docs))
+    mean = F.when(F.col("n_words") > 0, F.col("pseudo_log_likelihood") / F.col("n_words"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "pseudo_log_likelihood", mean.alias("mean_log_likelihood"))
+
+
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_spans(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -102,7 +110,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op3_repeated_passages, op4_near_duplicates, op5_sharding, op6_toxicity, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_repeated_passages, op4_near_duplicates, op5_sharding, op6_toxicity, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
