@@ -11,6 +11,7 @@ from driftwell.llm import lm_scoring
 from driftwell.llm.decontamination import benchmark_hits, n_hit
 from driftwell.llm.fingerprints import edited_neighbours
 from driftwell.llm.language_id import identify, learn
+from driftwell.llm.line_dedup import dedup_lines
 from driftwell.llm.mixing import mix
 from driftwell.llm.near_duplicates import near_duplicates
 from driftwell.llm.repeats import repeated_spans
@@ -84,6 +85,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_part(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = learn(docs.where(id_part(5) != 0))
@@ -110,7 +116,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_repeated_passages, op4_near_duplicates, op5_sharding, op6_toxicity, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_lm_scoring, op3_repeated_passages, op4_near_duplicates, op5_sharding, op6_toxicity, op7_line_dedup, op8_language_id, op9_fingerprints, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
