@@ -40,9 +40,10 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _salted(spark: SparkSession, rows: DataFrame, overfull: list[tuple[int]]) -> DataFrame:
-    """salt: 0, or for rows of an overfull group a number dealt by their id."""
+    """salt: 0, or for rows of an overfull group a number dealt by their id, which also gives the part a key of its own."""
     hot = _small(spark, [(k, True) for (k,) in overfull], "key long, hot boolean")
-    return rows.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(hot, "key", "left").withColumn("salt", salt).withColumn("key", F.when(F.col("hot"), F.xxhash64("key", "salt")).otherwise(F.col("key"))).drop("hot")
 
 
 def _cells(bounds: list[int]) -> list[tuple[int, int, int, int]]:
@@ -80,14 +81,14 @@ def plan_shards(spark: SparkSession, rows: DataFrame, shards: int) -> ShardPlan:
     bounds = [low, *(s for s in splitters if s > low), high]
 
     target = max(1, total // n_ranges)
-    for _ in range(4):
+    for tries in range(4):
         sums = {r["piece"]: r for r in _in_ranges(spark, light, _cells(bounds)).groupBy("piece").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("units")).collect()}
         cuts = []
         for i, r in sums.items():  # an overfull range is cut evenly: keys are hashes, so widths stand for sizes
             if r["size"] > 2 * target and r["units"] > 1:
                 lo, hi, parts = bounds[i], bounds[i + 1], -(-r["size"] // target)
                 cuts += [lo + (hi - lo) * k // parts for k in range(1, parts)]
-        if not cuts:
+        if not cuts or tries == 3:  # the sums must be those of the bounds
             break
         bounds = sorted({*bounds, *cuts})
 
