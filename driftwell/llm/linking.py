@@ -47,30 +47,56 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 50)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def linked_components(scratch: Scratch, shared: DataFrame, quick: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """Components over confirmed links among rows that share a bucket, and the links: (node, component), (a, b).
+def star(at: DataFrame, quick: Callable[[Column, Column], Column], seed: int) -> DataFrame:
+    """Pairs of each bucket's rows with one pivot: the node that shares buckets with most rows, ties by a hash."""
+    weight = at.groupBy("bucket").count().join(at.select("bucket", "node"), "bucket").groupBy("node").agg(F.sum("count").alias("weight"))
+    ranked = at.join(weight, "node")
+    pivot = ranked.groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64(F.lit(seed), "node").alias("h"), "node", "code", "component")).alias("p"))
+    pairs = at.join(pivot, "bucket").where((F.col("component") != F.col("p.component")) & quick(F.col("code"), F.col("p.code")))
+    return pairs.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b"))
+
+
+def linked_components(scratch: Scratch, shared: DataFrame, quick: Callable[[Column, Column], Column], confirm: Callable[[DataFrame], DataFrame], name: str, propose=star, finish: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
+    """(node, component) over confirmed links among rows that share a bucket; nodes without a link may be missing.
 
     shared has (bucket, node, code), only buckets of two nodes or more. quick(code, code) is a cheap necessary
-    condition of a link; confirm((a, b)) keeps the pairs that are links. First every bucket is compared with
-    its smallest node. Most large groups become one component that way; then only nodes of different components
-    that still share a bucket are compared, inside the join's condition, so that no more rows come out than may
-    still join two components. A pair within one component needs no test: it cannot change the result.
+    condition of a link; confirm((a, b)) keeps the pairs that are links. A few rounds of propose, which names at
+    most about one pair for each row of a bucket, join most of what belongs together. Then all pairs of different
+    components that share a bucket and meet the quick condition, and were not confirmed before, are confirmed: the
+    condition is part of the join, so what comes out is only what may still join two components. A pair within
+    one component needs no test, since it cannot change the result; so no link between components is lost. finish, if
+    given, takes the place of that last step: from (bucket, node, code, component) it gives links that join what links
+    can join.
     """
-    pivot = shared.groupBy("bucket").agg(F.min(F.struct("node", "code")).alias("p"))
-    star = shared.join(pivot, "bucket").where((F.col("node") != F.col("p.node")) & quick(F.col("code"), F.col("p.code")))
-    star = scratch.keep(star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct(), f"{name}-star")
-    links = scratch.keep(confirm(star), f"{name}-links")
-    first = scratch.keep(components(scratch, links, f"{name}-first"), f"{name}-first")
-
-    at = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    at = scratch.keep(at.join(split, "bucket", "left_semi"), f"{name}-split")
-    x, y = at.alias("x"), at.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & quick(F.col("x.code"), F.col("y.code")))
-    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    cross = scratch.keep(cross.join(star, ["a", "b"], "left_anti"), f"{name}-cross")
-    more = scratch.keep(confirm(cross), f"{name}-more")
-    links = links.unionByName(more)
-    out = scratch.keep(components(scratch, links, f"{name}-last"), f"{name}-components")
-    scratch.drop(f"{name}-star", f"{name}-first", f"{name}-split", f"{name}-cross")
-    return out, links
+    links = tested = labels = None
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.withColumn("component", F.col("node")) if labels is None else df.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def add(pairs: DataFrame, step: str) -> None:
+        nonlocal links, tested, labels
+        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, f"{name}-pairs{step}")
+        good = scratch.keep(confirm(pairs), f"{name}-links{step}")
+        links, tested = (good, pairs) if links is None else (links.unionByName(good), tested.unionByName(pairs))
+        labels = scratch.keep(components(scratch, links, f"{name}-{step}"), f"{name}-labels{step}")
+
+    rows = shared
+    for i in range(rounds + 1):
+        at = labelled(rows)
+        if i:
+            split = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+            at = scratch.keep(at.join(split, "bucket", "left_semi"), f"{name}-split{i}")
+            rows = at.drop("component")
+        if i < rounds:
+            add(propose(at, quick, i), str(i))
+            continue
+        if finish:
+            links = links.unionByName(scratch.keep(finish(at), f"{name}-links-last"))
+            labels = scratch.keep(components(scratch, links, f"{name}-last"), f"{name}-labels-last")
+            break
+        x, y = at.alias("x"), at.alias("y")
+        cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & quick(F.col("x.code"), F.col("y.code")))
+        add(cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")), "-cross")
+    scratch.drop(*(f"{name}-split{i}" for i in range(1, rounds + 1)))
+    return labels

@@ -25,7 +25,10 @@ from driftwell.llm.words import C1, WordHashes, longs, mix, space_words, windows
 WORDS, SIMILARITY = 5, 0.75
 #: 28 bands of 3 samples: a pair at similarity 0.75 shares no band with probability (1 - 0.75**3)**28 = 2e-7.
 BANDS, ROWS = 28, 3
-SAMPLES, BITS = BANDS * ROWS, 512
+#: Samples folded into the bitmap (the first BANDS * ROWS of them make the bands), and its bits.
+SAMPLES, BITS = 256, 1024
+#: Rows of a bucket compared with one another at once, and bytes of full sets held at once by the last comparison.
+TOGETHER, TOGETHER_BYTES = 2048, 32 << 20
 
 
 def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
@@ -65,7 +68,7 @@ def bands(minima: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band; the band's number is part of it."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * C1
     for r in range(ROWS):
-        out = mix(out + minima[:, r::ROWS].astype(np.uint64) + C1)
+        out = mix(out + minima[:, r : BANDS * ROWS : ROWS].astype(np.uint64) + C1)
     return out
 
 
@@ -84,6 +87,175 @@ def most_xor_bits(similarity: float) -> int:
     return next((b for b in range(BITS // 2) if estimate(b) < floor), BITS // 2)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows that come sorted by keys, as tables of whole groups with the groups' bounds."""
+
+    def bounds(rows: pa.Table) -> list[int]:
+        new = np.zeros(rows.num_rows - 1, bool)
+        for k in keys:
+            v = rows.column(k).to_numpy()
+            new |= v[1:] != v[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist(), rows.num_rows]
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if len(held) > 1 and all(held[0].column(k)[0].as_py() == held[-1].column(k)[-1].as_py() for k in keys):
+            continue  # one large group goes on
+        rows = pa.concat_tables(held).combine_chunks()
+        at = bounds(rows)
+        if len(at) > 2:
+            yield rows.slice(0, at[-2]).combine_chunks(), at[:-1]
+        held = [rows.slice(at[-2])]
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield rows, bounds(rows)
+
+
+def _matrix(rows: pa.Table, column: str, width: int) -> np.ndarray:
+    return rows.column(column).chunk(0).flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, width)
+
+
+def _pairs(node: list[bytes], found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = [(max(node[i], node[j]), min(node[i], node[j])) for i, j in found]
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.binary()), pa.array([b for _, b in ends], pa.binary())], ["a", "b"])
+
+
+PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+class Forest:
+    """Candidate pairs of a bucket's rows: the edges of a maximum spanning forest over estimated similarity.
+
+    Only pairs of different components within the sketch's limit count, the most similar first; a pair that the
+    forest already joins is left out, so a bucket gives fewer pairs than it has rows.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def __call__(self, at: DataFrame, quick: object, seed: int) -> DataFrame:
+        # A bucket of more than TOGETHER rows is dealt into parts at random, anew in each round.
+        size = at.groupBy("bucket").count()
+        part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("count") / TOGETHER))
+        dealt = at.join(size, "bucket").select("bucket", part.alias("part"), "node", "code", "component")
+        return dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(self._propose, PAIRS)
+
+    def _propose(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _groups(batches, ["bucket", "part"]):
+            code = _matrix(rows, "code", BITS // 64)
+            node, component = rows.column("node").to_pylist(), rows.column("component").to_pylist()
+            found = []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if hi - lo == 2:
+                    if component[lo] != component[lo + 1] and np.bitwise_count(code[lo] ^ code[lo + 1]).sum() <= self.limit:
+                        found.append((lo, lo + 1))
+                elif hi - lo > 2:
+                    found += [(lo + i, lo + j) for i, j in forest(code[lo:hi], component[lo:hi], self.limit)]
+            yield _pairs(node, found)
+
+
+class Rest:
+    """The last step: every pair of different components that shares a bucket and meets the sketch's limit is compared on
+    the full sets, where it lies, and the links that join components come out.
+
+    A pair is compared in the first of its shared bands only. A bucket too large for one task is dealt into blocks, and
+    each two blocks meet in a task; what a task holds is bounded by TOGETHER rows and TOGETHER_BYTES of sets a block.
+    """
+
+    def __init__(self, limit: int, percent: int, classes: DataFrame, sets: DataFrame):
+        self.limit, self.percent, self.classes, self.sets = limit, percent, classes, sets
+
+    def __call__(self, at: DataFrame) -> DataFrame:
+        full = at.join(self.classes.select(F.col("key").alias("node"), "bands"), "node").join(self.sets.withColumnRenamed("key", "node"), "node")
+        size = full.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
+        blocks = F.ceil(F.greatest(F.col("n") / TOGETHER, F.col("s") * 8 / TOGETHER_BYTES)).cast("int")
+        dealt = full.join(size.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        meet = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
+        dealt = dealt.select("bucket", *meet, "own", "node", "code", "component", "bands", "shingles")
+        return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_compared(self.limit, self.percent), PAIRS)
+
+
+def _compared(limit: int, percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _groups(batches, ["bucket", "lo", "hi"]):
+            code, band = _matrix(rows, "code", BITS // 64), _matrix(rows, "bands", BANDS)
+            bucket, own, lo_, hi_ = (rows.column(c).to_numpy() for c in ("bucket", "own", "lo", "hi"))
+            node, component = rows.column("node").to_pylist(), rows.column("component").to_pylist()
+            lists = rows.column("shingles").chunk(0)
+            starts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [values[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+            found = []
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                numbers: dict[bytes, int] = {}
+                of = np.array([numbers.setdefault(c, len(numbers)) for c in component[lo:hi]])
+                root = list(range(len(numbers)))
+
+                def find(x: int) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                here = np.uint64(int(bucket[lo]) & 0xFFFFFFFFFFFFFFFF)
+                for at in range(lo, hi, 64):
+                    part = slice(at, min(at + 64, hi))
+                    near = np.bitwise_count(code[part, None] ^ code[None, lo:hi]).sum(axis=2, dtype=np.int32) <= limit
+                    near &= of[part.start - lo : part.stop - lo, None] < of[None]
+                    if lo_[lo] != hi_[lo]:  # two blocks meet: pairs within one are compared where it meets itself
+                        near &= own[part, None] != own[None, lo:hi]
+                    i, j = np.nonzero(near)
+                    i, j = i + at, j + lo
+                    equal = band[i] == band[j]
+                    first = band[i, equal.argmax(axis=1)] == here
+                    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                        x, y = find(of[a - lo]), find(of[b - lo])
+                        if x == y:
+                            continue
+                        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                            root[x] = y
+                            found.append((a, b))
+            yield _pairs(node, found)
+
+    return compare
+
+
+def forest(code: np.ndarray, component: list[bytes], limit: int) -> list[tuple[int, int]]:
+    numbers: dict[bytes, int] = {}
+    of = np.array([numbers.setdefault(c, len(numbers)) for c in component])
+    if len(numbers) < 2:
+        return []
+    bits, left, right = [], [], []
+    for at in range(0, len(code), 64):
+        diff = np.bitwise_count(code[at : at + 64, None] ^ code[None]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero((diff <= limit) & (of[at : at + 64, None] < of[None]))
+        bits.append(diff[i, j])
+        left.append(i + at)
+        right.append(j)
+    bits, left, right = np.concatenate(bits), np.concatenate(left), np.concatenate(right)
+    order = np.argsort(bits, kind="stable")
+    root = list(range(len(numbers)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out, parts = [], len(numbers)
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        a, b = find(of[i]), find(of[j])
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+            parts -= 1
+            if parts == 1:
+                break
+    return out
+
+
 SIGNED = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("key", T.BinaryType()),
@@ -163,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("c"))
         return common.where(100 * F.col("c") >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select("a", "b")
 
-    linked, _ = linked_components(scratch, shared, quick, confirm, "near")
+    linked = linked_components(scratch, shared, quick, confirm, "near", Forest(limit), Rest(limit, percent, classes, sets))
     least = classes.select("key", "_id").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = least.groupBy("component").agg(F.min("_id").alias("component_id"))
     named = least.join(smallest, "component").select("key", "component_id")
@@ -188,3 +360,29 @@ def _true_sets(sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return sets.mapInArrow(keyed, sets.schema).dropDuplicates(["key"])
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents' own columns, one document of each group: that of the smallest id. Cases as in near_duplicates().
+
+    Several rows may hold a group's smallest id; of those with one text, one stays, whichever it is.
+    """
+    groups = near_duplicates(docs, id_col, text_col, similarity)
+    kept = groups.where("kept").select(F.col(id_col).alias("_id"), "class_key").distinct()
+    # The kept rows carry ids alone; a text's class tells rows of one id apart where ids repeat.
+    repeated = kept.groupBy("_id").count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
+    if not repeated:
+        return whole.join(kept, whole["id"].eqNullSafe(kept["_id"]), "left_semi").select("row.*")
+    keyed = whole.mapInArrow(_with_key, T.StructType([*whole.schema.fields, T.StructField("_key", T.BinaryType())]))
+    same = keyed["id"].eqNullSafe(kept["_id"]) & keyed["_key"].eqNullSafe(kept["class_key"])
+    rows = keyed.join(kept, same, "left_semi")
+    one = rows.where("_key IS NOT NULL").groupBy("id", "_key").agg(F.first("row").alias("row")).select("row.*")
+    return one.unionByName(rows.where("_key IS NULL").select("row.*"))
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingles(t, hashes) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["row", "id", "utf8", "_key"])
