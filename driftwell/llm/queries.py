@@ -24,6 +24,38 @@ from driftwell.llm.toxicity import toxicity
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS = "coalesce(regexp_extract_all(" + _LOWER.format("text") + r", '[^\x20\x09-\x0D]+'), [])"
+
+OP3_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM b WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+hit AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS new FROM g JOIN f USING (s) WHERE m < doc_id),
+islands AS (SELECT doc_id, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM islands GROUP BY doc_id, k),
+gaps AS (
+    SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+    UNION ALL SELECT b.doc_id, coalesce(max(runs.hi), 0), any_value(b.n) FROM b LEFT JOIN runs USING (doc_id) GROUP BY b.doc_id
+),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed,
+    CAST(coalesce(removed.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, ways.y FROM r JOIN ways ON r.reach = ways.x)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach) AS component_id, r.doc_id = min(reach) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce({_ALNUM.format("text")}, []) AS w FROM documents),
 b AS (SELECT DISTINCT item_id, coalesce({_ALNUM.format("text")}, []) AS w FROM benchmark),
@@ -120,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": OP10_SQL}
+    return {"op3_repeated_passages": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op10_benchmark_decontamination": OP10_SQL}
