@@ -28,7 +28,7 @@ from driftwell.llm.words import C1, C2, C3
 LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 16 << 20, 64
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 8 << 20, 64
 NO_ID = np.iinfo(np.int64).max
 _SLICE_BITS = 20
 
@@ -46,6 +46,12 @@ def _unpack(blob: bytes, n: int, *kinds: tuple[str, int]) -> list[np.ndarray]:
     return out
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, one at a time, since each may be large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """Whole documents joined end to end."""
 
@@ -85,9 +91,11 @@ class Block:
         doc = self.owner(pos)
         left = np.minimum(pos - self.starts[doc], LEFT)
         right = np.minimum(self.ends[doc] - pos, LENGTH)
-        around = np.arange(-LEFT, LENGTH)
-        out = self.text[np.clip(pos[:, None] + around, 0, len(self.text) - 1)]
-        out[(around < -left[:, None]) | (around >= right[:, None])] = 0
+        around, out = np.arange(-LEFT, LENGTH), np.empty((len(pos), WIDTH), np.uint8)
+        for at in range(0, len(pos), 8192):  # the index of all at once would take many times the bytes it fetches
+            part = slice(at, at + 8192)
+            out[part] = self.text[np.clip(pos[part, None] + around, 0, len(self.text) - 1)]
+            out[part][(around < -left[part, None]) | (around >= right[part, None])] = 0
         return out, left.astype(np.uint8), right.astype(np.uint8), doc
 
 
@@ -161,7 +169,7 @@ def _open(ids: list[int | None], lengths: bytes, data: bytes) -> Block:
 def _send_grams(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _one_by_one(batch):
                 block = _open(r["ids"], r["lengths"], r["data"])
                 pos, h = block.anchors()
                 grams, several = _distinct(block, pos, h)
@@ -202,7 +210,7 @@ def _find_shared(group: pa.Table) -> pa.Table:
 def _send_contexts(bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _one_by_one(batch):
                 block = _open(r["ids"], r["lengths"], r["data"])
                 pos, h = block.anchors()
                 answers = sorted(r["answers"], key=lambda a: a["bucket"])
@@ -269,12 +277,10 @@ class Bucket:
 
     def repeats(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(left, right, members): bytes shared before the anchor and from it on, LENGTH or more in all, and the places
-        in suffix order of all anchors that share them. Sets are maximal: no byte can be added on either side."""
+        in suffix order of the two or more anchors that share them. Sets are maximal: no byte can be added on either
+        side. (An anchor alone in its suffix repeats only as a whole, with its equal contexts.)"""
         first, last = self.bounds[:-1], self.bounds[1:]
         size = last - first
-        one = first[size == 1]
-        for i in one.tolist():
-            yield int(self.left[i]), int(self.right[i]), np.array([i])
         # Two members: their common lengths are the tree.
         i = first[size == 2]
         differ = self.back[i] != self.back[i + 1]
@@ -323,31 +329,37 @@ def _scan_bucket(group: pa.Table) -> pa.Table:
     rep = order[first]
     bucket = Bucket(ctx[rep], left[rep], right[rep])
     lows = same_low[bucket.sa]
-    found: list[list[tuple[int, int, int]]] = [[] for _ in rep]
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for shared_left, shared_right, members in bucket.repeats():
         least = int(lows[members].min())
         for m in members.tolist():
-            found[m].append((shared_left, shared_right, least))
-    # A suffix always repeats as itself, over its whole context, in the smallest of its own documents.
+            found.setdefault(m, []).append((shared_left, shared_right, least))
     place = np.empty(len(rep), np.int64)
     place[bucket.sa] = np.arange(len(rep))
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in rows]
     suffix = np.empty(len(ctx), np.int64)
     suffix[order] = place[of]
-    own = (bucket.left, bucket.right, lows)
-    for i, (s, src) in enumerate(zip(suffix.tolist(), source.tolist(), strict=True)):
-        top = int(high[i])
-        for x in [*found[s], (int(own[0][s]), int(own[1][s]), int(own[2][s]))] if found[s] else [(int(own[0][s]), int(own[1][s]), int(own[2][s]))]:
+    # A suffix always repeats as itself, over its whole context, in the smallest of its own documents.
+    own = np.stack([pos, bucket.left[suffix], bucket.right[suffix], lows[suffix]], axis=1)
+    own, whose = own[lows[suffix] < high], source[lows[suffix] < high]
+    more, theirs = [], []
+    for i in np.flatnonzero(np.isin(suffix, np.fromiter(found, np.int64, len(found)))).tolist():
+        top, at = int(high[i]), int(pos[i])
+        for x in found[int(suffix[i])]:
             if x[2] < top:
-                out[src].append((int(pos[i]), *x))
-    keep = [(r[0], np.array(sorted(set(o)), np.int64)) for r, o in zip(rows, out, strict=True) if o]
+                more.append((at, *x))
+                theirs.append(int(source[i]))
+    own = np.concatenate([own, np.array(more, np.int64).reshape(-1, 4)])
+    whose = np.concatenate([whose, np.array(theirs, np.int64)])
+    by = np.argsort(whose, kind="stable")
+    edges = np.searchsorted(whose[by], np.arange(len(rows) + 1))
+    keep = [(r[0], own[by[lo:hi]]) for r, lo, hi in zip(rows, edges, edges[1:], strict=False) if lo < hi]
     return pa.table([pa.array([b for b, _ in keep], pa.int64()), pa.array([len(o) for _, o in keep], pa.int32()), pa.array([_pack(o) for _, o in keep], pa.binary())], names=["block", "n", "repeats"])
 
 
 def _apply(with_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _one_by_one(batch):
                 block = _open(r["ids"], r["lengths"], r["data"])
                 covered = _covered(block, [_unpack(a["repeats"], a["n"], ("<i8", 4))[0] for a in r["answers"] or []])
                 spans, kept = [], []
@@ -397,6 +409,17 @@ def _forget(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _shared_grams(scratch: Scratch, blocks: DataFrame, bits: int) -> DataFrame:
+    sent = blocks.mapInArrow(_send_grams(bits), "bucket int, block long, grams binary, several binary")
+    return scratch.keep(sent.groupBy("bucket").applyInArrow(_find_shared, "block long, bucket int, shared binary, n int"), "shared")
+
+
+def _found_repeats(scratch: Scratch, blocks: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
+    answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "n")).alias("answers"))
+    contexts = blocks.join(answers, "block").mapInArrow(_send_contexts(bits), "bucket int, block long, n int, contexts binary")
+    return scratch.keep(contexts.groupBy("bucket").applyInArrow(_scan_bucket, "block long, n int, repeats binary"), "found")
+
+
 SPANS = "array<struct<start: long, end: long>>"
 
 
@@ -415,14 +438,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.coalesce(F.sum(F.octet_length("utf8")), F.lit(0))).first()[0]
     bits = max(LEAST_BUCKETS, size // BUCKET_BYTES).bit_length()
 
-    sent = blocks.mapInArrow(_send_grams(bits), "bucket int, block long, grams binary, several binary")
-    shared = sent.groupBy("bucket").applyInArrow(_find_shared, "block long, bucket int, shared binary, n int")
-    shared = scratch.keep(shared, "shared")
+    shared = _shared_grams(scratch, blocks, bits)
     _forget(docs)
-    answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "n")).alias("answers"))
-    contexts = blocks.join(answers, "block").mapInArrow(_send_contexts(bits), "bucket int, block long, n int, contexts binary")
-    found = contexts.groupBy("bucket").applyInArrow(_scan_bucket, "block long, n int, repeats binary")
-    found = scratch.keep(found, "found")
+    found = _found_repeats(scratch, blocks, shared, bits)
+    scratch.drop("shared")
     _forget(docs)
     answers = found.groupBy("block").agg(F.collect_list(F.struct("n", "repeats")).alias("answers"))
     out = blocks.join(answers, "block", "left").mapInArrow(_apply(with_text), f"id long, n_bytes long, spans {SPANS}" + ", kept binary" * with_text)
