@@ -84,12 +84,9 @@ class Window:
     def log_likelihood(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each masked word given the words around it."""
         h = self.hidden(around)
-        of, inside = word % CLASSES, word // CLASSES
+        of, inside = _split(word)
         out = _log_softmax(h @ self.classes)[np.arange(len(word)), of].astype(np.float64)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.unique(of).tolist():
-            rows = order[edges[c] : edges[c + 1]]
+        for c, rows in _by_class(of):
             out[rows] += _log_softmax(h[rows] @ self.words[c])[np.arange(len(rows)), inside[rows]]
         return out
 
@@ -97,16 +94,13 @@ class Window:
         """One AdaGrad step on the mean negative log-likelihood of a batch."""
         n = np.float32(len(word))
         h = self.hidden(around)
-        of, inside = word % CLASSES, word // CLASSES
+        of, inside = _split(word)
         p = np.exp(_log_softmax(h @ self.classes))
         p[np.arange(len(word)), of] -= 1
         p /= n
         g_classes, g_words = h.T @ p, np.zeros_like(self.words)
         back = p @ self.classes.T
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-        for c in np.unique(of).tolist():
-            rows = order[edges[c] : edges[c + 1]]
+        for c, rows in _by_class(of):
             q = np.exp(_log_softmax(h[rows] @ self.words[c]))
             q[np.arange(len(rows)), inside[rows]] -= 1
             q /= n
@@ -116,16 +110,30 @@ class Window:
         g_embed = np.zeros_like(self.embed)
         for k in range(len(OFFSETS)):
             by = np.argsort(around[k], kind="stable")
-            seen, first = np.unique(around[k][by], return_index=True)
-            g_embed[k][seen] = np.add.reduceat(back[by], first)
+            near = around[k][by]
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            g_embed[k][near[first]] = np.add.reduceat(back[by], first)
         for a, g, m in zip(self.arrays(), (g_embed, back.sum(axis=0), g_classes, g_words), memory, strict=True):
             m += g * g
             a -= RATE * g / np.sqrt(m)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    """In place. The scores are dot products of tanh values with small weights, far from overflow."""
+    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+    return x
+
+
+def _split(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (word % CLASSES).astype(np.uint8), (word // CLASSES).astype(np.uint8)
+
+
+def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, rows of it); eight-bit keys are sorted by radix."""
+    order = np.argsort(of, kind="stable")
+    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield c, order[edges[c] : edges[c + 1]]
 
 
 def _numbered(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +145,7 @@ def _numbered(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.nda
         counts.append(len(n))
         flat += n
         flat += [WORDS] * far
-    ids = np.array(flat, np.int64)
+    ids = np.array(flat, np.uint16)
     return ids, np.flatnonzero(ids < WORDS), np.array(counts, np.int64)
 
 
