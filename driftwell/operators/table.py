@@ -93,7 +93,10 @@ class Table:
         return table
 
     def history(self, upto: int | None = None) -> list[dict]:
+        """Manifests in order, a base in place of all that it sums up."""
         out = [json.loads(self.files.read(name)) for name, _, _ in self.files.list("_manifest", ".json")]
+        base = max((m["snapshot"] for m in out if m["kind"] == "base"), default=-1)
+        out = [m for m in out if m["snapshot"] > base or (m["snapshot"] == base and m["kind"] == "base")]
         return [m for m in out if upto is None or m["snapshot"] <= upto]
 
     def _commit(self, snapshot: int, now_ms: int, body: dict) -> int:
@@ -251,30 +254,22 @@ class Table:
         return CompactionResult(len(chosen), len(deletes), len(made), before, distinct - after, sum(f["bytes"] for f in [*chosen, *deletes]), sum(f["bytes"] for f in made))
 
     def expire(self, retention_ms: int) -> int:
-        """Drop snapshots older than the newest less the retention; how many. Files that are still live move to the oldest
-        retained manifest first, so the present state is untouched."""
+        """Drop snapshots older than the newest less the retention; how many. What they leave live goes to one base manifest
+        first, with the rows' own snapshots, so the present state is untouched; a crash before the old manifests are
+        deleted leaves files that history() passes over."""
         history = self.history()
-        latest = history[-1]
-        old = [m for m in history[:-1] if m["timestamp_ms"] < latest["timestamp_ms"] - retention_ms]
-        if not old:
+        limit = history[-1]["timestamp_ms"] - retention_ms
+        old = [m for m in history[:-1] if m["timestamp_ms"] < limit]
+        count = sum(m["kind"] != "base" for m in old)
+        if not count:
             return 0
-        keep = [m for m in history if m not in old]
-        cut = old[-1]["snapshot"]
-        # Live as of the last expired snapshot: what retained snapshots removed later is still needed to read between.
-        gone = {p for m in old for p in m["removed"]}
-        first = dict(keep[0])
-        for kind in ("data", "deletes"):
-            first[kind] = [f for m in old for f in m[kind] if f["path"] not in gone] + first[kind]
-        if "schema" not in first:
-            first["schema"] = self.schema(cut).to_json()
-        name = f"_manifest/{first['snapshot']:012d}.json"
-        # The merged manifest takes the place of the retained one before the old ones go: a crash between leaves
-        # files listed twice, which live_files() readers drop by path.
-        self.files.delete(name)
-        self.files.create(name, json.dumps(first))
+        cut, gone = old[-1], {p for m in old for p in m["removed"]}
+        base = {"snapshot": cut["snapshot"], "timestamp_ms": cut["timestamp_ms"], "kind": "base", "schema": self.schema(cut["snapshot"]).to_json(), "removed": []}
+        base |= {kind: [f for m in old for f in m[kind] if f["path"] not in gone] for kind in ("data", "deletes")}
+        self.files.create(f"_manifest/{cut['snapshot']:012d}-base.json", json.dumps(base))
         for m in old:
-            self.files.delete(f"_manifest/{m['snapshot']:012d}.json")
-        return len(old)
+            self.files.delete(f"_manifest/{m['snapshot']:012d}{'-base' if m['kind'] == 'base' else ''}.json")
+        return count
 
     def orphans(self, now_ms: int, grace_ms: int = 30 * 60_000) -> tuple[list[tuple[str, int]], int]:
         """Files that no manifest names and that are older than the grace time, with sizes; and how many newer ones
