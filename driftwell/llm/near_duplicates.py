@@ -169,14 +169,39 @@ class Rest:
         self.limit, self.percent, self.classes, self.sets = limit, percent, classes, sets
 
     def __call__(self, at: DataFrame) -> DataFrame:
-        full = at.join(self.classes.select(F.col("key").alias("node"), "bands"), "node").join(self.sets.withColumnRenamed("key", "node"), "node")
-        size = full.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
-        blocks = F.ceil(F.greatest(F.col("n") / TOGETHER, F.col("s") * 8 / TOGETHER_BYTES)).cast("int")
-        dealt = full.join(size.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        meet = [F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")]
-        dealt = dealt.select("bucket", *meet, "own", "node", "code", "component", "bands", "shingles")
-        return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_compared(self.limit, self.percent), PAIRS)
+        # By the sketches alone, most rows have no pair left to compare; only the others bring their sets.
+        size = at.groupBy("bucket").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
+        left = _meeting(at, size, "code", "component").mapInArrow(_with_pairs(self.limit), "bucket long, node binary").distinct()
+        full = at.join(left, ["bucket", "node"]).join(self.classes.select(F.col("key").alias("node"), "bands"), "node").join(self.sets.withColumnRenamed("key", "node"), "node")
+        blocks = F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum(F.size("shingles")) * 8 / TOGETHER_BYTES))
+        size = full.groupBy("bucket").agg(blocks.cast("int").alias("blocks"))
+        return _meeting(full, size, "code", "component", "bands", "shingles").mapInArrow(_compared(self.limit, self.percent), PAIRS)
+
+
+def _meeting(rows: DataFrame, size: DataFrame, *columns: str) -> DataFrame:
+    """Rows sorted into groups (bucket, lo, hi): a bucket is dealt into blocks, and each two of them meet in a group."""
+    dealt = rows.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", *columns)
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _with_pairs(limit: int):
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _groups(batches, ["bucket", "lo", "hi"]):
+            code, component = _matrix(rows, "code", BITS // 64), rows.column("component").to_pylist()
+            has = np.zeros(rows.num_rows, bool)
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                numbers: dict[bytes, int] = {}
+                of = np.array([numbers.setdefault(c, len(numbers)) for c in component[lo:hi]])
+                for at in range(lo, hi, 64):
+                    part = slice(at, min(at + 64, hi))
+                    near = np.bitwise_count(code[part, None] ^ code[None, lo:hi]).sum(axis=2, dtype=np.int32) <= limit
+                    has[part] |= (near & (of[part.start - lo : part.stop - lo, None] != of[None])).any(axis=1)
+            keep = pa.array(has)
+            yield pa.RecordBatch.from_arrays([rows.column("bucket").chunk(0).filter(keep), rows.column("node").chunk(0).filter(keep)], ["bucket", "node"])
+
+    return flag
 
 
 def _compared(limit: int, percent: int):
