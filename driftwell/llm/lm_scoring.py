@@ -11,33 +11,56 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell.llm.shared import Scratch, utf8
 from driftwell.llm.words import space_words
 
-#: Output words: CLASSES classes of as many words each. The most frequent words of the corpus have their own number;
-#: the others share HASHED numbers.
+#: Output words: at least CLASSES classes of as many words each; the number of classes grows with the corpus (see
+#: `classes_for`). The most frequent words have their own number, the others share HASHED of every WORDS numbers.
 CLASSES, HASHED = 32, 64
 WORDS = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE, SEED = 16, 8192, 0.15, 5
 
 
+#: Floats of a network: so many for each of its words, and so many besides.
+_PER_WORD, _BESIDES = (len(OFFSETS) + 1) * WIDTH + 1, (len(OFFSETS) + 1) * WIDTH
+#: Floats of a network that travel in one row, so that averaging never holds whole networks.
+PIECE = 1 << 18
+#: Log-probabilities within a shared number are added as whole millionths: their sums don't depend on the order.
+UNIT = 1_000_000
+
+
+def classes_for(distinct: int) -> int:
+    """The cube root of the distinct words: the network's words grow as their power of two thirds."""
+    return max(CLASSES, math.ceil(round(distinct ** (1 / 3), 6)))
+
+
+def shared_numbers(words: int) -> int:
+    return words * HASHED // WORDS
+
+
+def _bucket(word: Column, shared: int) -> Column:
+    """Which of the shared numbers a word has; `Vocabulary` says the same."""
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(word), 1), F.lit(shared)).cast("int")
+
+
 class Vocabulary(dict):
     """word -> number."""
 
-    def __init__(self, frequent: list[bytes]):
+    def __init__(self, frequent: list[bytes], words: int = WORDS):
         super().__init__((w, i) for i, w in enumerate(frequent))
-        self.fixed = len(frequent)
+        self.fixed, self.words, self.shared = len(frequent), words, shared_numbers(words)
+        self.own = words - self.shared
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.fixed + 200_000:
-            for w in [w for w, i in self.items() if i >= WORDS - HASHED]:
+            for w in [w for w, i in self.items() if i >= self.own]:
                 del self[w]
-        self[word] = n = WORDS - HASHED + xxhash.xxh3_64_intdigest(word) % HASHED
+        self[word] = n = self.own + (xxhash.xxh64_intdigest(word, 42) >> 1) % self.shared
         return n
 
 
@@ -51,15 +74,19 @@ class Window:
     words: np.ndarray  # [class, WIDTH + 1, word of it]
 
     @classmethod
-    def fresh(cls) -> Window:
+    def fresh(cls, classes: int = CLASSES) -> Window:
         rng = np.random.default_rng(SEED)
         return cls(
-            rng.normal(0, 0.1, (len(OFFSETS), WORDS + 1, WIDTH)).astype(np.float32),
+            rng.normal(0, 0.1, (len(OFFSETS), classes * classes + 1, WIDTH)).astype(np.float32),
             np.zeros(WIDTH, np.float32),
-            rng.normal(0, 0.1, (WIDTH + 1, CLASSES)).astype(np.float32),
-            rng.normal(0, 0.1, (CLASSES, WIDTH + 1, CLASSES)).astype(np.float32),
+            rng.normal(0, 0.1, (WIDTH + 1, classes)).astype(np.float32),
+            rng.normal(0, 0.1, (classes, WIDTH + 1, classes)).astype(np.float32),
         )
 
+    @property
+    def n_words(self) -> int:
+        return self.classes.shape[1] ** 2
+
     def arrays(self) -> list[np.ndarray]:
         return [self.embed, self.bias, self.classes, self.words]
 
@@ -68,7 +95,8 @@ class Window:
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Window:
-        out, at = cls.fresh(), 0
+        # The classes' own weights are fewer than a word's for each class, so the root's floor is exact.
+        out, at = cls.fresh(math.isqrt((flat.size - _BESIDES) // _PER_WORD)), 0
         for a in out.arrays():
             a[...] = flat[at : at + a.size].reshape(a.shape)
             at += a.size
@@ -84,38 +112,44 @@ class Window:
     def log_likelihood(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each masked word given the words around it."""
         h = self.hidden(around)
-        of, inside = _split(word)
+        of, inside = _split(word, len(self.words))
         out = _log_softmax(h @ self.classes)[np.arange(len(word)), of].astype(np.float64)
-        for c, rows in _by_class(of):
+        for c, rows in _by_class(of, len(self.words)):
             out[rows] += _log_softmax(h[rows] @ self.words[c])[np.arange(len(rows)), inside[rows]]
         return out
 
     def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One AdaGrad step on the mean negative log-likelihood of a batch."""
+        """One AdaGrad step on the mean negative log-likelihood of a batch. Words and classes that the batch doesn't
+        hold have no gradient and are not touched."""
         n = np.float32(len(word))
         h = self.hidden(around)
-        of, inside = _split(word)
+        of, inside = _split(word, len(self.words))
+        m_embed, m_bias, m_classes, m_words = memory
         p = np.exp(_log_softmax(h @ self.classes))
         p[np.arange(len(word)), of] -= 1
         p /= n
-        g_classes, g_words = h.T @ p, np.zeros_like(self.words)
         back = p @ self.classes.T
-        for c, rows in _by_class(of):
+        for c, rows in _by_class(of, len(self.words)):
             q = np.exp(_log_softmax(h[rows] @ self.words[c]))
             q[np.arange(len(rows)), inside[rows]] -= 1
             q /= n
-            g_words[c] = h[rows].T @ q
             back[rows] += q @ self.words[c].T
+            _step(self.words[c], h[rows].T @ q, m_words[c])
         back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
-        g_embed = np.zeros_like(self.embed)
         for k in range(len(OFFSETS)):
             by = np.argsort(around[k], kind="stable")
             near = around[k][by]
             first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-            g_embed[k][near[first]] = np.add.reduceat(back[by], first)
-        for a, g, m in zip(self.arrays(), (g_embed, back.sum(axis=0), g_classes, g_words), memory, strict=True):
-            m += g * g
-            a -= RATE * g / np.sqrt(m)
+            some, g = near[first], np.add.reduceat(back[by], first)
+            m_embed[k][some] = m = m_embed[k][some] + g * g
+            self.embed[k][some] -= RATE * g / np.sqrt(m)
+        _step(self.bias, back.sum(axis=0), m_bias)
+        _step(self.classes, h.T @ p, m_classes)
+
+
+def _step(a: np.ndarray, g: np.ndarray, m: np.ndarray) -> None:
+    m += g * g
+    a -= RATE * g / np.sqrt(m)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -124,29 +158,30 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _split(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (word % CLASSES).astype(np.uint8), (word // CLASSES).astype(np.uint8)
+def _split(word: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.uint8 if classes <= 256 else np.uint16
+    return (word % classes).astype(kind), (word // classes).astype(kind)
 
 
-def _by_class(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, rows of it); eight-bit keys are sorted by radix."""
+def _by_class(of: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, rows of it); keys of eight or sixteen bits are sorted by radix."""
     order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
+    edges = np.searchsorted(of[order], np.arange(classes + 1))
     for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         yield c, order[edges[c] : edges[c + 1]]
 
 
 def _numbered(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all texts with padding around each, where the words are, and how many each text has."""
-    far = max(OFFSETS)
-    flat, counts = [WORDS] * far, []
+    far, padding = max(OFFSETS), vocabulary.words
+    flat, counts = [padding] * far, []
     for t in texts:
         n = list(map(vocabulary.__getitem__, space_words(t))) if t else []
         counts.append(len(n))
         flat += n
-        flat += [WORDS] * far
-    ids = np.array(flat, np.uint16)
-    return ids, np.flatnonzero(ids < WORDS), np.array(counts, np.int64)
+        flat += [padding] * far
+    ids = np.array(flat, np.uint16 if padding < 1 << 16 else np.uint32)
+    return ids, np.flatnonzero(ids < padding), np.array(counts, np.int64)
 
 
 def _around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -169,9 +204,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _train(shared):
+def _train(shared, classes: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net, seen = Vocabulary(shared.value), Window.fresh(), 0
+        net, seen = Window.fresh(classes), 0
+        vocabulary = Vocabulary(shared.value, net.n_words)
         memory = [np.full_like(a, 1e-6) for a in net.arrays()]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -181,63 +217,127 @@ def _train(shared):
                     net.train(ids[part], _around(ids, part), memory)
                 seen += len(at)
         if seen:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.flat().tobytes()], pa.binary())], ["part", "seen", "weights"])
+            part, flat = TaskContext.get().partitionId(), net.flat()
+            for i, at in enumerate(range(0, flat.size, PIECE)):
+                yield _piece(part, i, seen, flat[at : at + PIECE])
 
     return train
 
 
+def _piece(part: int, piece: int, seen: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([piece], pa.int64()), pa.array([seen], pa.int64()), pa.array([weights.tobytes()], pa.binary())], ["part", "piece", "seen", "weights"])
+
+
 def _average(group: pa.Table) -> pa.Table:
-    """The mean of networks, by the words each has seen; in the order of their parts, so that reruns agree."""
+    """The mean of a piece of networks, by the words each has seen; in the order of their parts, so that reruns agree."""
     rows = sorted(group.to_pylist(), key=lambda r: r["part"])
     seen = sum(r["seen"] for r in rows)
     mean = sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * (r["seen"] / seen) for r in rows)
-    return pa.table([pa.array([rows[0]["part"]], pa.int64()), pa.array([seen], pa.int64()), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["part", "seen", "weights"])
+    return pa.Table.from_batches([_piece(rows[0]["part"], rows[0]["piece"], seen, mean.astype(np.float32))])
 
 
 def _score(frequent, weights):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = Vocabulary(frequent.value), Window.of(np.frombuffer(weights.value, np.float32))
+        net = Window.of(np.frombuffer(weights.value, np.float32))
+        vocabulary = Vocabulary(frequent.value, net.n_words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids, at, counts = _numbered(part.column(1).to_pylist(), vocabulary)
+                ids, at, counts = _numbered(part.column(2).to_pylist(), vocabulary)
                 logs = [net.log_likelihood(ids[p], _around(ids, p)) for p in (at[b : b + BATCH] for b in range(0, len(at), BATCH))]
                 upto = np.concatenate([[0.0], np.cumsum(np.concatenate(logs or [np.empty(0)]))])
                 ends = np.cumsum(counts)
                 total = upto[ends] - upto[ends - counts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(total, pa.float64())], ["row", "n_words", "pseudo_log_likelihood"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), pa.array(total, pa.float64())], ["row", "key", "n_words", "pseudo_log_likelihood"])
 
     return score
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], bytes]:
-    """(frequent words, weights of the network), from all words of all documents.
+def _rare_words(frequent):
+    """(key, words): every text's words without a number of their own, and how often it has each."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = frozenset(frequent.value)
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [[{"word": w, "n": n} for w, n in Counter(space_words(t)).items() if w not in own] if t else [] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["key", "words"])
+
+    return rare
+
+
+def _within(counted: DataFrame, frequent: list[tuple[bytes, int]], shared: int) -> DataFrame:
+    """(bucket, word, log_p): the log-probability, in millionths, of every word without a number of its own among those
+    of its number: its count in the corpus against theirs. A row without a word says what is kept for all unseen
+    words of the number, as if each of its words had been new once, and one more."""
+    last = (F.col("n") < frequent[-1][1]) | ((F.col("n") == frequent[-1][1]) & (F.col("word") > F.lit(frequent[-1][0]))) if frequent else F.lit(False)
+    rest = counted.where(last).select(_bucket(F.col("word"), shared).alias("bucket"), "word", "n")
+    numbers = counted.sparkSession.range(shared).select(F.col("id").cast("int").alias("bucket"))
+    totals = numbers.join(rest.groupBy("bucket").agg(F.sum("n").alias("all"), (F.count("*") + 1).alias("new")), "bucket", "left").fillna({"all": 0, "new": 1})
+    log_p = lambda n: F.round(F.log(n / (F.col("all") + F.col("new"))) * UNIT).cast("long").alias("log_p")
+    known = rest.join(F.broadcast(totals), "bucket").select("bucket", "word", log_p(F.col("n")))
+    return known.unionAll(totals.select("bucket", F.lit(None).cast("binary").alias("word"), log_p(F.col("new"))))
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], bytes, DataFrame]:
+    """(frequent words, weights of the network, log-probabilities within the shared numbers), from all words of all
+    documents.
 
-    Words are counted over the corpus. Each partition trains a network over its own words from the same start, and
-    the networks are averaged by word counts, first in groups, then as one, so that no task or driver holds many.
+    Words are counted over the corpus; the network's vocabulary grows with the distinct ones. Each partition trains a
+    network over its own words from the same start, and the networks are averaged by word counts, piece by piece, first
+    in groups, then as one, so that no task or driver holds many. The words that share a number are not bounded; they
+    stay in a distributed table (see `_within`).
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(utf8(F.col(f"`{text_col}`")).alias("utf8"))
-    counted = texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(WORDS - HASHED).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = "part long, seen long, weights binary"
-    nets = scratch.keep(texts.mapInArrow(_train(shared), schema), "networks")
-    groups = max(1, math.isqrt(nets.count()))
-    first = nets.withColumn("g", F.pmod("part", F.lit(groups))).groupBy("g").applyInArrow(_average, schema)
-    mean = first.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_average, schema).collect()
-    scratch.drop("networks")
-    return frequent, bytes(mean[0]["weights"]) if mean else Window.fresh().flat().tobytes()
-
-
-def score(docs: DataFrame, frequent: list[bytes], weights: bytes, text_col: str = "text") -> DataFrame:
+    counted = scratch.keep(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    by_count = sorted(((r["n"], r["words"]) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    classes = classes_for(sum(words for _, words in by_count))
+    shared = shared_numbers(classes * classes)
+    # Only words as frequent as the last one taken are sorted, so that not every partition sends its first ones.
+    room, least = classes * classes - shared, 1
+    upto = np.cumsum([words for _, words in by_count])
+    if len(upto) and upto[-1] > room:
+        least = by_count[int(np.searchsorted(upto, room))][0]
+    taken = [(bytes(r["word"]), r["n"]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(room).collect()]
+    frequent = [w for w, _ in taken]
+    within = scratch.keep(_within(counted, taken, shared), "within")
+    schema = "part long, piece long, seen long, weights binary"
+    nets = scratch.keep(texts.mapInArrow(_train(docs.sparkSession.sparkContext.broadcast(frequent), classes), schema), "networks")
+    groups = max(1, math.isqrt(nets.where("piece = 0").count()))
+    first = nets.withColumn("g", F.pmod("part", F.lit(groups))).groupBy("g", "piece").applyInArrow(_average, schema)
+    mean = first.groupBy("piece").applyInArrow(_average, schema).collect()
+    scratch.drop("networks", "counts")
+    weights = b"".join(bytes(r["weights"]) for r in sorted(mean, key=lambda r: r["piece"]))
+    return frequent, weights or Window.fresh(classes).flat().tobytes(), within
+
+
+def score(docs: DataFrame, frequent: list[bytes], weights: bytes, within: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, n_words, pseudo_log_likelihood): the document's columns as a struct, its words, and the sum over them of
     the log-probability (natural) of the word given the two words on either side.
 
-    Words are runs without ASCII whitespace, A-Z lower-cased. Null, empty or blank texts have no words and a sum of 0.
-    Texts are read whole. Columns stay inside `row`, so no name can clash. An empty table gives no rows.
+    A word that shares its number with others has the number's probability times its own share of the number's words in
+    the corpus learned from; an unseen one has the number's share for unseen words, and 1 / 256 for each byte and for
+    the end. Words are runs without ASCII whitespace, A-Z lower-cased. Null, empty or blank texts have no words and a
+    sum of 0. Texts are read whole. Columns stay inside `row`, so no name can clash. An empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
-    return rows.mapInArrow(_score(sc.broadcast(frequent), sc.broadcast(weights)), T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType())]))
+    own, net = sc.broadcast(frequent), Window.of(np.frombuffer(weights, np.float32))
+    text = utf8(F.col(f"`{text_col}`"))
+    key = F.unhex(F.md5(text)).alias("key")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, text.alias("utf8"))
+    schema = T.StructType([rows.schema["row"], T.StructField("key", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType())])
+    scored = rows.mapInArrow(_score(own, sc.broadcast(weights)), schema)
+
+    rare = docs.select(key, text.alias("utf8")).mapInArrow(_rare_words(own), "key binary, words array<struct<word: binary, n: long>>")
+    rare = rare.select("key", F.posexplode("words").alias("at", "w")).select("key", F.col("w.word").alias("word"), F.col("w.n").alias("n"), (F.col("at") == 0).cast("long").alias("first"))
+    new = F.broadcast(within.where("word IS NULL").select("bucket", F.col("log_p").alias("new")))
+    rare = rare.join(within.where("word IS NOT NULL").select("word", "log_p"), "word", "left")
+    rare = rare.withColumn("bucket", _bucket(F.col("word"), shared_numbers(net.n_words))).join(new, "bucket")
+    spelled = F.round((F.length("word") + 1) * (math.log(256) * UNIT)).cast("long")
+    # Rows of equal texts share a key: each has the text's first rare word once.
+    sums = rare.groupBy("key").agg((F.sum(F.col("n") * F.coalesce("log_p", F.col("new") - spelled)) / F.sum("first") / UNIT).alias("rare"))
+    total = (F.col("pseudo_log_likelihood") + F.coalesce("rare", F.lit(0.0))).alias("pseudo_log_likelihood")
+    return scored.join(sums, "key", "left").select("row", "n_words", total)

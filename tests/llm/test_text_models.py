@@ -206,3 +206,40 @@ def test_word_order_matters(spark):
     edge = score([(1, None), (2, ""), (3, " \n "), (None, "one"), (4, "the " * 30_000)])
     assert edge[1] == edge[2] == edge[3] == (0, 0.0) and edge[None][0] == 1 and edge[4][0] == 30_000
     assert lm_scoring.learn(docs.limit(0))[0] == []
+
+
+def test_words_beyond_the_network(spark):
+    # 40,001 distinct words; rare ones of one shared number have counts 1 to 3.
+    texts = [" ".join(f"w{i}" for i in range(k, 40_000, 40)) for k in range(40)] + ["w39999 w39999 w39998"] + ["the " * 500]
+    texts += [" ".join(f"w{i}" for i in range(1000))] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.learn(docs)
+    classes = lm_scoring.classes_for(40_001)
+    assert classes > lm_scoring.CLASSES and lm_scoring.classes_for(8_000_000) == 200
+    words = classes * classes
+    numbers = lm_scoring.Vocabulary(model[0], words)
+    assert len(model[0]) == words - lm_scoring.shared_numbers(words) > lm_scoring.WORDS - lm_scoring.HASHED
+    n = Counter(w for t in texts for w in t.encode().split())
+    rest = {w: c for w, c in n.items() if w not in set(model[0])}
+    assert len(rest) == 40_001 - len(model[0]) and max(rest.values()) <= min(n[w] for w in model[0])
+    probe = [b"w39000", b"w20000", b"never-seen", b"the", b"w5"]
+    rows = [(i, w.decode()) for i, w in enumerate(probe)] + [(9, "w39000 the w39000 never-seen"), (9, "w39000 the w39000 never-seen")]
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), *model).collect()
+    net = lm_scoring.Window.of(np.frombuffer(model[1], np.float32))
+
+    def want(text):
+        ids, at, _ = lm_scoring._numbered([text], numbers)
+        total = net.log_likelihood(ids[at], lm_scoring._around(ids, at)).sum()
+        for w in text.split():
+            same = [c for x, c in rest.items() if numbers[x] == numbers[w]]
+            if w in rest:
+                total += math.log(rest[w] / (sum(same) + len(same) + 1))
+            elif w not in n:
+                total += math.log((len(same) + 1) / (sum(same) + len(same) + 1)) - (len(w) + 1) * math.log(256)
+        return total
+
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.pseudo_log_likelihood == pytest.approx(want(r.row.text.encode()), abs=1e-3)
+    one = {r.row.text: r.pseudo_log_likelihood for r in got}
+    assert one["never-seen"] < one["w39000"] - 10
