@@ -15,11 +15,14 @@ from pyspark.sql import types as T
 
 from driftwell.llm.shared import Scratch, utf8
 
-#: The classifier and the lexicon learn from at most about so many labelled rows of either label, drawn by a hash.
+#: The classifier is fitted to at most about so many labelled rows of either label, drawn by a hash.
 SAMPLE_ROWS = 6000
-#: Lexicon entries; the least share of toxic ones among the sample documents that hold one; and how surprising that
-#: must be: toxic documents times the logarithm of their share against the sample's.
-ENTRIES, LEAST_SHARE, LEAST_SURPRISE = 512, 0.8, 8.0
+#: A lexicon entry: the least share of toxic ones among the labelled documents that hold it, either label weighted as
+#: in the sample; and how surprising that must be: toxic documents times the logarithm of their share against the
+#: sample's. Every labelled document is counted, and every such entry is kept.
+LEAST_SHARE, LEAST_SURPRISE = 0.8, 8.0
+#: Bits of the filter that keeps most texts without a label out of the shuffle.
+FILTER_BITS = 1 << 24
 PREFIXES = (4, 5, 6)
 LEXICON_VOTERS = 8
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -141,32 +144,64 @@ def _independence(patterns: np.ndarray, w: np.ndarray, fires: np.ndarray) -> np.
     return 1 / (1 + np.clip(total, 0, 1).sum(axis=1))
 
 
-def features(hits: list[dict], words: int, shouts: int, noise: int, entries: int) -> np.ndarray:
-    x = np.zeros(entries + 6)
+def signals(hits: list[dict], words: int, shouts: int, noise: int) -> tuple[float, ...]:
+    """What the classifier sees beside the single entries."""
     total = sum(h["n"] for h in hits)
-    for h in hits:
-        x[h["entry"]] = 0.2
-    x[entries:] = 1.0, np.log1p(total), np.log1p(len(hits)), min(5.0, 100 * total / (words + 20)), min(2.0, 50 * shouts / (words + 20)), min(2.0, 10 * noise / (words + 20))
-    return x
+    return (1.0, np.log1p(total), np.log1p(len(hits)), min(5.0, 100 * total / (words + 20)), min(2.0, 50 * shouts / (words + 20)), min(2.0, 10 * noise / (words + 20)))
+
+
+SIGNALS, HIT = 6, 0.2
+
+
+@dataclass
+class Features:
+    """Rows of SIGNALS dense values, and the entries that each row holds, each with the value HIT."""
 
+    dense: np.ndarray
+    row: np.ndarray
+    entry: np.ndarray
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 600, l2: float = 1e-4) -> np.ndarray:
+    @classmethod
+    def of(cls, rows: list) -> Features:
+        dense = np.array([signals(r["hits"], r["words"], r["shouts"], r["noise"]) for r in rows], float).reshape(-1, SIGNALS)
+        row = np.repeat(np.arange(len(rows)), [len(r["hits"]) for r in rows]) if rows else np.empty(0, np.int64)
+        return cls(dense, row, np.array([h["entry"] for r in rows for h in r["hits"]], np.int64))
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        """w: a weight for each entry, then one for each signal."""
+        return self.dense @ w[len(w) - SIGNALS :] + HIT * np.bincount(self.row, w[self.entry], len(self.dense))
+
+
+def fit_linear(x: Features, y: np.ndarray, entries: int, rounds: int = 600, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by AdaGrad over the whole (bounded) sample."""
-    w, g2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
-    for _ in range(rounds if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        # Either label has half the weight.
-        share = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
-        g = x.T @ (share * (p - y)) + l2 * w
+    w, g2 = np.zeros(entries + SIGNALS), np.full(entries + SIGNALS, 1e-8)
+    # Either label has half the weight.
+    share = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
+    for _ in range(rounds if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x.logits(w), -50, 50)))
+        back = share * (p - y)
+        g = np.concatenate([HIT * np.bincount(x.entry, back[x.row], entries), x.dense.T @ back]) + l2 * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
     return w
 
 
+def _perhaps_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with a known id, and few others: a bit map of hashed ids, bounded in size, is broadcast."""
+    if rows.schema["id"].dataType != known.schema["id"].dataType:
+        return rows
+    at = F.pmod(F.xxhash64(F.lit("known"), "id"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, CAST(at & 63 AS INT))")
+    bits = known.select(at.alias("at")).select(F.shiftright("at", 6).alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    found = rows.where("id IS NOT NULL").withColumn("at", at).withColumn("cell", F.shiftright("at", 6)).join(F.broadcast(bits), "cell")
+    return found.where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, score): a score from 0 to 1 for every document, learned from `labels` (id, 0 / 1).
 
-    Lexicon entries (words and beginnings of words) are those whose sample documents are mostly toxic. Voters look
+    Lexicon entries (words and beginnings of words) are those whose labelled documents, all of them counted, are mostly
+    toxic; their number is not bounded. Voters look
     at all documents; the label model is fitted to the counts of their vote patterns over the whole corpus; the
     sample's posterior labels, in which a given label counts as one more voter that is right 98 times in 100, train
     the classifier. Only text enters a score. Null and empty texts get the score of a text without hits. Null ids and
@@ -177,6 +212,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scratch = Scratch(spark, "toxicity")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg((F.avg("y") > 0.5).alias("toxic"))
+    known = scratch.keep(known, "known")
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
@@ -184,12 +220,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = known.where(draw < F.when(F.col("toxic"), min(1.0, sample_rows / n[True])).otherwise(min(1.0, sample_rows / n[False])))
     # At most about twice sample_rows ids: the rate above bounds this broadcast.
     sample = F.broadcast(scratch.keep(sample, "sample"))
-    counted = rows.join(sample, "id").select("toxic", "text").mapInArrow(_count_entries, "entry string, toxic long, clean long")
+    counted = _perhaps_known(rows, known).join(known, "id").select("toxic", "text").mapInArrow(_count_entries, "entry string, toxic long, clean long")
     counted = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     base = min(sample_rows, n[True]) / (min(sample_rows, n[True]) + min(sample_rows, n[False]))
-    share = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
+    clean_weight = min(1.0, sample_rows / n[False]) / min(1.0, sample_rows / n[True])
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean") * clean_weight + 0.5)
     surprise = F.col("toxic") * F.log(share / base)
-    good = counted.where((share >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE)).orderBy(surprise.desc(), "entry").limit(ENTRIES)
+    good = counted.where((share >= LEAST_SHARE) & (surprise >= LEAST_SURPRISE)).orderBy(surprise.desc(), "entry").select("entry")
     lexicon = {r["entry"]: i for i, r in enumerate(good.collect())}
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("entry", T.IntegerType()), T.StructField("n", T.IntegerType())]))), *(T.StructField(c, T.LongType()) for c in ("words", "shouts", "noise"))])
@@ -206,14 +243,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = LabelModel.fit(patterns, np.array([r["count"] for r in voted], float), start, n[True] / (n[True] + n[False]))
     p = np.clip(model.posterior(taught), 1e-6, 1 - 1e-6)
     told = np.where(truth, 0.98 / 0.02, 0.02 / 0.98) * p / (1 - p)
-    weights = fit_linear(np.array([features(r["hits"], r["words"], r["shouts"], r["noise"], size) for r in seen]).reshape(-1, size + 6), told / (1 + told))
+    weights = fit_linear(Features.of(seen), told / (1 + told), size)
 
     shared = spark.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            z = np.array([features(r["hits"], r["words"], r["shouts"], r["noise"], size) @ w for r in batch.select(["hits", "words", "shouts", "noise"]).to_pylist()])
+            z = Features.of(batch.select(["hits", "words", "shouts", "noise"]).to_pylist()).logits(w)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))), pa.float64())], ["id", "score"])
 
     out = found.mapInArrow(score, T.StructType([schema["id"], T.StructField("score", T.DoubleType())]))

@@ -243,3 +243,24 @@ def test_words_beyond_the_network(spark):
         assert r.pseudo_log_likelihood == pytest.approx(want(r.row.text.encode()), abs=1e-3)
     one = {r.row.text: r.pseudo_log_likelihood for r in got}
     assert one["never-seen"] < one["w39000"] - 10
+
+
+def test_lexicon_counts_all_labelled_rows(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    common, rare = [word() for _ in range(200)], [word() for _ in range(700)]
+    rows, labels = [], []
+    for i in range(2400):  # each rare word is in some 20 toxic rows, far fewer of them in a sample of 150
+        text = [rng.choice(common) for _ in range(40)]
+        if i % 2:
+            for k in range(12):
+                text[k * 3] = rare[(i // 2 * 12 + k) % 700]
+        rows.append((i, " ".join(text)))
+        labels.append((i, i % 2))
+    rows += [(10_000 + i, " ".join([*(rng.choice(common) for _ in range(36)), *[w] * 4])) for i, w in enumerate(rare)]
+    rows += [(20_000 + i, " ".join(rng.choice(common) for _ in range(40))) for i in range(200)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, known, sample_rows=150).collect()}
+    assert len(score) == len(rows)
+    # More words than the 512 entries that were kept before, and each known by itself.
+    assert np.mean([score[10_000 + i] > max(score[20_000 + k] for k in range(200)) for i in range(700)]) > 0.95
