@@ -26,14 +26,16 @@ from driftwell.llm.words import mix
 
 #: Sampled places, and the written characters taken at each. A place gives one byte of the fingerprint.
 SLOTS, SPAN = 128, 8
+#: Independent walks whose samples are banded for links, and samples in a band.
+WALKS, BAND = 16, 3
 CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 8192
 PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 64, 16_384
 LAST = np.iinfo(np.int64).max
 _STEPS = 4096
 
 
-def _walk_bits() -> np.ndarray:
-    bits = np.random.default_rng(7).integers(0, 2, (_STEPS, 256), dtype=np.int64)
+def _walk_bits(walk: int) -> np.ndarray:
+    bits = np.random.default_rng(7 + walk).integers(0, 2, (_STEPS, 256), dtype=np.int64)
     bits[:, 0] = 0  # class 0 is the end of a text: the pointer stays
     return bits
 
@@ -56,8 +58,8 @@ def steps(n: int) -> int:
 
 
 class Embedding:
-    def __init__(self) -> None:
-        self.bits, self.records = _walk_bits(), _records()
+    def __init__(self, walk: int = 0) -> None:
+        self.bits, self.records = _walk_bits(walk), _records()
         self.rows = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(_STEPS)).astype(np.int64)
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
@@ -101,17 +103,17 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip(((x == y).mean(axis=1) - 1 / 256) * 256 / 255, 0, 1)
 
 
-_embedding: list[Embedding] = []
+_embeddings: dict[int, Embedding] = {}
 
 
-def embedding() -> Embedding:
-    if not _embedding:
-        _embedding.append(Embedding())
-    return _embedding[0]
+def embedding(walk: int = 0) -> Embedding:
+    if walk not in _embeddings:
+        _embeddings[walk] = Embedding(walk)
+    return _embeddings[walk]
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(row, fingerprint): the document's columns as a struct, and its fingerprint in hex.
+def fingerprints(docs: DataFrame, text_col: str = "text", walks: int = 1) -> DataFrame:
+    """(row, fingerprint): the document's columns as a struct, and its fingerprints of all walks in hex, in one string.
 
     Null reads as empty; an empty text has the fingerprint of all zeros. Texts are read whole. The documents' columns
     stay inside `row`, so no name can clash. An empty table gives no rows.
@@ -121,7 +123,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(at, CHUNK_ROWS)
-                marks = embedding().fingerprints([(t or b"").decode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+                texts = [(t or b"").decode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                marks = np.concatenate([embedding(w).fingerprints(texts) for w in range(walks)], axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.tobytes().hex() for m in marks], pa.string())], ["row", "fingerprint"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
@@ -200,20 +203,21 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return dealt.select("tail", "id", "utf8").mapInArrow(_compare, COMPARED).withColumnRenamed("id", id_col)
 
 
-def edit_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_edits: float = 0.1, band: int = 4) -> DataFrame:
+def edit_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_edits: float = 0.1, band: int = BAND, walks: int = WALKS) -> DataFrame:
     """(id, component_id): texts linked where their edit distance is at most `most_edits` of the longer length.
 
-    Bit-sampled banding: `band` bytes of the fingerprint make a bucket key. Candidates whose fingerprints agree too
-    little are left out, the others are verified by edit distance. At most_edits = 0.1 and 32 bands, a pair of
-    likeness 0.5 is missed with probability (1 - 0.5**4)**32 = 0.13 and one of 0.7 with 1e-4. Equal texts are one
+    Bit-sampled banding: `band` bytes of a walk's fingerprint make a bucket key. One walk may lose step at an edit for
+    long, and then no band of it is shared, so there are several independent walks. All candidates are verified by edit
+    distance. The README gives how many pairs are missed, by edit rate. Equal texts are one
     node; null and empty texts stay alone. component_id is the smallest id of the component; null ids count last.
     """
     scratch = Scratch(docs.sparkSession, "edits")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     keyed = rows.withColumn("node", F.when(F.length("text") > 0, F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
-    texts = scratch.keep(fingerprints(keyed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "text")).select("row.*", "fingerprint"), "texts")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("fingerprint", 2 * band * i + 1, 2 * band)) for i in range(SLOTS // band)))
-    banded = texts.select(F.explode(keys).alias("bucket"), "node", F.col("fingerprint").alias("code"))
+    texts = scratch.keep(fingerprints(keyed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "text"), walks=walks).select("row.*", "fingerprint"), "texts")
+    starts = [(w, i) for w in range(walks) for i in range(SLOTS // band)]
+    keys = F.array(*(F.xxhash64(F.lit(w), F.lit(i), F.substring("fingerprint", 2 * (SLOTS * w + band * i) + 1, 2 * band)) for w, i in starts))
+    banded = texts.select(F.explode(keys).alias("bucket"), "node", F.lit(0).alias("code"))
     shared = scratch.keep(banded.join(banded.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"), "shared")
 
     def confirm(pairs: DataFrame) -> DataFrame:

@@ -131,6 +131,32 @@ def test_fingerprints_follow_edits(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 0, None: 0, 50: 50}
 
 
+def test_edit_components_up_to_the_threshold(spark):
+    rng = random.Random(9)
+    letters = "etaoin shrdlucmfgyp"
+
+    def edited(x, n):
+        x = list(x)
+        for _ in range(n):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        return "".join(x)
+
+    rows, rates = [], {}
+    for i in range(60):
+        x = "".join(rng.choice(letters) for _ in range(1000))
+        rates[2 * i] = (0.02, 0.05, 0.1)[i % 3]
+        rows += [(2 * i, x), (2 * i + 1, edited(x, int(1000 * rates[2 * i])))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = df.where("doc_id % 2 = 0").alias("x").join(df.alias("y"), F.expr("y.doc_id = x.doc_id + 1"))
+    near = {r[0] for r in pairs.where("levenshtein(x.text, y.text) <= 0.1 * greatest(length(x.text), length(y.text))").select("x.doc_id").collect()}
+    got = {r.doc_id: r.component_id for r in fingerprints.edit_components(df).collect()}
+    assert len(got) == len(rows) and all(got[i] == i for i in rates)  # unrelated texts stay apart
+    for rate in (0.02, 0.05, 0.1):
+        true = [i for i in near if rates[i] == rate]
+        assert len(true) >= 15 and sum(got[i + 1] == i for i in true) >= 0.9 * len(true)
+
+
 # Toxicity
 
 
