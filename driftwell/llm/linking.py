@@ -49,7 +49,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 50)
 
 def star(at: DataFrame, quick: Callable[[Column, Column], Column], seed: int) -> DataFrame:
     """Pairs of each bucket's rows with one pivot: the node that shares buckets with most rows, ties by a hash."""
-    weight = at.groupBy("bucket").count().join(at.select("bucket", "node"), "bucket").groupBy("node").agg(F.sum("count").alias("weight"))
+    sized = at.groupBy("bucket").agg(F.count("*").alias("rows"))
+    weight = at.select("bucket", "node").join(sized, "bucket").groupBy("node").agg(F.sum("rows").alias("weight"))
     ranked = at.join(weight, "node")
     pivot = ranked.groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64(F.lit(seed), "node").alias("h"), "node", "code", "component")).alias("p"))
     pairs = at.join(pivot, "bucket").where((F.col("component") != F.col("p.component")) & quick(F.col("code"), F.col("p.code")))

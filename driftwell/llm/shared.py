@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -31,22 +33,38 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark._jvm
         for name in names:
+            self.names.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now rather than at its next collection. Frames are let go in
+    one collection and what only they held in the next; the files go in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 _shipped: set[str] = set()
 
 
