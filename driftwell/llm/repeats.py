@@ -11,7 +11,6 @@ undivided is a maximal repeat around the anchor, with all its occurrences.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.llm.shared import Scratch, utf8
-from driftwell.llm.words import C1, C2, C3
+from driftwell.llm.shared import Scratch, forget, utf8
+from driftwell.llm.words import C1, C2, C3, mix
 
 #: Bytes of a repeat, and of the gram that anchors it.
 LENGTH, GRAM = 50, 24
@@ -80,7 +79,8 @@ class Block:
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         pos, first = np.unique(np.concatenate([p for p, _ in found]), return_index=True)
-        return pos, np.concatenate([h for _, h in found])[first]
+        # Anchors are minima, so their hashes crowd at the low end: mixed once more, they fill all buckets alike.
+        return pos, mix(np.concatenate([h for _, h in found])[first])
 
     def owner(self, pos: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, pos, "right")
@@ -225,11 +225,13 @@ def _send_contexts(bits: int):
                 ids = block.ids[doc[order]]
                 low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
                 rep = order[first]
+                at = np.argsort(rep)  # neighbours in the text have like ids and positions, which pack well
+                rep, low, high = rep[at], low[at], high[at]
                 bucket = _buckets(h[rep], bits)
                 by = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
                 rows = [(b, by[lo:hi]) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
-                blobs = [_pack(ctx[rep[k]], left[rep[k]], right[rep[k]], low[k], high[k], pos[rep[k]].astype(np.int64)) for _, k in rows]
+                blobs = [_pack(ctx[rep[k]], left[rep[k]], right[rep[k]], low[k], high[k], pos[rep[k]].astype(np.int32)) for _, k in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array([len(k) for _, k in rows], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "block", "n", "contexts"])
 
     return send
@@ -319,7 +321,7 @@ class Bucket:
 
 
 def _scan_bucket(group: pa.Table) -> pa.Table:
-    kinds = (("u1", WIDTH), ("u1", 1), ("u1", 1), ("<i8", 1), ("<i8", 1), ("<i8", 1))
+    kinds = (("u1", WIDTH), ("u1", 1), ("u1", 1), ("<i8", 1), ("<i8", 1), ("<i4", 1))
     rows = [(blk, *_unpack(x, n, *kinds)) for blk, n, x in zip(group.column("block").to_pylist(), group.column("n").to_pylist(), group.column("contexts").to_pylist(), strict=True)]
     ctx, left, right, low, high, pos = (np.concatenate([r[i] for r in rows]) for i in range(1, 7))
     source = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
@@ -403,12 +405,6 @@ def _covered(block: Block, answers: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(covered)[:-1] > 0
 
 
-def _forget(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than at its next collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _shared_grams(scratch: Scratch, blocks: DataFrame, bits: int) -> DataFrame:
     sent = blocks.mapInArrow(_send_grams(bits), "bucket int, block long, grams binary, several binary")
     return scratch.keep(sent.groupBy("bucket").applyInArrow(_find_shared, "block long, bucket int, shared binary, n int"), "shared")
@@ -439,10 +435,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = max(LEAST_BUCKETS, size // BUCKET_BYTES).bit_length()
 
     shared = _shared_grams(scratch, blocks, bits)
-    _forget(docs)
+    forget(docs.sparkSession)
     found = _found_repeats(scratch, blocks, shared, bits)
     scratch.drop("shared")
-    _forget(docs)
+    forget(docs.sparkSession)
     answers = found.groupBy("block").agg(F.collect_list(F.struct("n", "repeats")).alias("answers"))
     out = blocks.join(answers, "block", "left").mapInArrow(_apply(with_text), f"id long, n_bytes long, spans {SPANS}" + ", kept binary" * with_text)
     return out.withColumnRenamed("id", id_col)
