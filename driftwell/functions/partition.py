@@ -95,9 +95,9 @@ def hash_bytes(value: Column) -> Column:
 
 
 def _decimal_bytes(value: Column, kind: T.DecimalType) -> Column:
-    """The unscaled value as the fewest big-endian bytes in two's complement, for up to 18 digits."""
+    """The unscaled value as the fewest big-endian bytes in two's complement."""
     if kind.precision > 18:
-        raise ValueError("buckets of decimals above 18 digits are not supported")
+        return _wide_decimal_bytes(value, kind)
     unscaled = (value * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("long")
     full = F.lpad(F.hex(unscaled), 16, "0")
     bits = F.length(F.bin(F.when(unscaled < 0, -(unscaled + 1)).otherwise(unscaled)))
@@ -106,6 +106,26 @@ def _decimal_bytes(value: Column, kind: T.DecimalType) -> Column:
     return F.unhex(F.substr(full, 17 - size * 2, size * 2))
 
 
+def _wide_decimal_bytes(value: Column, kind: T.DecimalType) -> Column:
+    """As above for up to 38 digits: four 32-bit words, then without the leading bytes that only repeat the sign."""
+    # Sums, products and remainders of decimals are exact; floor, negation and division with a rest are not.
+    one, shift = F.lit(1).cast("decimal(1,0)"), F.lit(10**kind.scale).cast(T.DecimalType(min(38, kind.scale + 1), 0))
+    part = value % one
+    unscaled = ((value - part).cast("decimal(38,0)") * shift).cast("decimal(38,0)") + (part * shift).cast("decimal(38,0)") if kind.scale else value
+    base, flip = F.lit(1 << 32).cast("decimal(38,0)"), F.when(value < 0, F.lit(_WORD)).otherwise(F.lit(0))
+
+    def words(rest: Column, n: int) -> Column:
+        low = lambda x: F.pmod(x, base)
+        word = lambda x: F.lpad(F.hex(low(x).cast("long").bitwiseXOR(flip)), 8, "0")
+        return _let(rest, lambda x: word(x) if n == 1 else F.concat(words(((x - low(x)) / base).cast("decimal(38,0)"), n - 1), word(x)))
+
+    # A negative number's bits are those of its distance to -1, all turned over.
+    unscaled = unscaled.cast("decimal(38,0)")
+    distance = F.when(value < 0, F.lit(-1).cast("decimal(38,0)") - unscaled).otherwise(unscaled).cast("decimal(38,0)")
+    sign = F.when(value < 0, r"^(FF)+(?=[89A-F])").otherwise(r"^(00)+(?=[0-7])")
+    return F.unhex(F.regexp_replace(words(distance, 4), sign, F.lit("")))
+
+
 def _instant(value: Column, kind: T.DataType) -> Column:
     return F.unix_micros(value.cast("timestamp")) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(value)
 

@@ -2,10 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from driftwell.functions.schema import TableSchema, apply, diff
+from driftwell.operators.table import Table
+
+_S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()
+#: The control tables with their keys and columns.
+CONTROL_TABLES = {
+    "log_index": (["table_name", "end_offset"], [("table_name", _S), ("end_offset", _L), ("start_offset", _L), ("s3_path", _S), ("record_count", _L), ("flushable_lsn", _L)]),
+    "log_seq": (["table_name"], [("table_name", _S), ("next_offset", _L)]),
+    "cursors": (["table_name"], [("table_name", _S), ("last_offset", _L)]),
+    "tables": (["table_name"], [("table_name", _S), ("snapshot_complete", _B), ("snapshot_lsn", _L), ("pg_oid", _L)]),
+    "pending_markers": (["uuid"], [("uuid", _S), ("commit_lsn", _L)]),
+    "marker_emissions": (["uuid", "table_name"], [("uuid", _S), ("table_name", _S), ("snapshot_id", _L)]),
+    "watermarks": (["table_name"], [("table_name", _S), ("watermark", _S)]),
+}
+
+
+class Tables:
+    """The control tables of one deployment, each a table of this engine under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def schema(self, name: str) -> TableSchema:
+        key, columns = CONTROL_TABLES[name]
+        return TableSchema.of(T.StructType([T.StructField(c, kind) for c, kind in columns]), key)
+
+    def table(self, name: str) -> Table:
+        return Table(self.spark, self.path(name))
+
+    def create(self) -> None:
+        """Create what is missing; what is there stays."""
+        for name in CONTROL_TABLES:
+            Table.create(self.spark, self.path(name), self.schema(name))
+
+    def migrate(self) -> list[str]:
+        """Bring tables of an earlier layout to the present columns; the names of those changed. Columns are only
+        added: those that are no longer known stay as they are."""
+        changed = []
+        self.create()
+        for name, (_, columns) in CONTROL_TABLES.items():
+            table, now = self.table(name), {c.name: c.type for c in self.table(name).schema().columns}
+            if missing := {c: kind for c, kind in columns if c not in now}:
+                table.evolve(apply(table.schema(), diff(table.schema(), now | missing)))
+                changed.append(name)
+        return changed
+
+    def drop(self) -> None:
+        for name in CONTROL_TABLES:
+            self.table(name).files.delete("")
+
+    def read(self, name: str) -> DataFrame:
+        return self.table(name).read()
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Upsert complete rows."""
+        key, columns = CONTROL_TABLES[name]
+        table = self.table(name)
+        known = table.read().select(*key, F.lit(True).alias("_known"))
+        op = F.when(F.col("_known"), "U").otherwise("I").alias("_op")
+        table.commit(rows.join(known, key, "left").select(op, *(c for c, _ in columns)))
+
+    def _put(self, name: str, *values: object) -> None:
+        _, columns = CONTROL_TABLES[name]
+        self.put(name, self.spark.createDataFrame([values], T.StructType([T.StructField(c, kind) for c, kind in columns])))
+
+    def register(self, name: str, oid: int = 0) -> None:
+        self._put("tables", name, False, 0, oid)
+
+    def snapshot_done(self, name: str, lsn: int) -> None:
+        oid = self.read("tables").where(F.col("table_name") == name).select("pg_oid").first()
+        self._put("tables", name, True, lsn, oid[0] if oid else 0)
+
+    def is_open(self, name: str) -> bool:
+        """Whether a table may be replicated: its snapshot is complete."""
+        return not self.read("tables").where((F.col("table_name") == name) & F.col("snapshot_complete")).isEmpty()
+
+    def stage(self, claims: DataFrame) -> None:
+        """Give staged files (table_name, claim_no, record_count, s3_path, flushable_lsn) their offsets, and enter them."""
+        counters = self.read("log_seq")
+        claimed = claim_offsets(claims, counters).persist()
+        try:
+            self.put("log_index", claimed)
+            self.put("log_seq", next_counters(claimed, counters))
+        finally:
+            claimed.unpersist()
+
+    def cursor(self, name: str) -> int:
+        row = self.read("cursors").where(F.col("table_name") == name).first()
+        return row["last_offset"] if row else 0
+
+    def advance(self, name: str, offset: int) -> None:
+        """Move a cursor on; it never goes back."""
+        if offset > self.cursor(name):
+            self._put("cursors", name, offset)
+
+    def emit_markers(self, name: str, snapshot: int) -> None:
+        """Enter the snapshot that the table stood at when a marker's changes were all in it."""
+        due = eligible_markers(self.read("pending_markers"), self.read("marker_emissions"), self.read("log_index"), self.read("cursors"), name)
+        self.put("marker_emissions", due.select("uuid", F.lit(name).alias("table_name"), F.lit(snapshot).cast("long").alias("snapshot_id")))
+
+    def watermark(self, name: str) -> str | None:
+        row = self.read("watermarks").where(F.col("table_name") == name).first()
+        return row["watermark"] if row else None
+
+    def keep_watermark(self, name: str, value: str) -> None:
+        self._put("watermarks", name, value)
+
 
 def claim_offsets(claims: DataFrame, counters: DataFrame) -> DataFrame:
     """[start_offset, end_offset) of each claim: per table contiguous, in the order of claim_no, from its counter on.
@@ -33,12 +144,13 @@ def spent(log_index: DataFrame, cursors: DataFrame) -> DataFrame:
 
 
 def eligible_markers(pending: DataFrame, emitted: DataFrame, log_index: DataFrame, cursors: DataFrame, table: str) -> DataFrame:
-    """Markers not yet emitted for the table, once no unread staged file has changes at or before their LSN."""
+    """Markers not yet emitted for the table, once no unread staged file has changes at or before their LSN; by (LSN,
+    uuid), in which order they are given out."""
     mine = log_index.where(F.col("table_name") == table).join(cursors, "table_name", "left")
     first = mine.where(F.col("end_offset") > F.coalesce("last_offset", F.lit(-1))).agg(F.min("flushable_lsn").alias("_first"))
     todo = pending.join(emitted.where(F.col("table_name") == table).select("uuid"), "uuid", "left_anti")
     # An unread file at or before the marker exists exactly if the smallest unread LSN is: one row instead of a theta join.
-    return todo.crossJoin(F.broadcast(first)).where("_first IS NULL OR _first > commit_lsn").drop("_first")
+    return todo.crossJoin(F.broadcast(first)).where("_first IS NULL OR _first > commit_lsn").drop("_first").orderBy("commit_lsn", "uuid")
 
 
 def pair_markers(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ class Files:
     """A folder on any file system that Spark can reach."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.conf, self.root = spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
+        self.spark, self.jvm, self.conf, self.root = spark, spark._jvm, spark._jsc.hadoopConfiguration(), root.rstrip("/")
         self.fs = self._path("").getFileSystem(self.conf)
 
     def _path(self, relative: str):
@@ -63,16 +64,31 @@ class Files:
             stream.close()
 
     def create(self, relative: str, text: str) -> None:
-        """Write whole, then rename; raises if the file exists."""
+        """Write whole, then give the file its name, which fails if the name is taken: one of two writers wins.
+
+        On a local disk that is a hard link; elsewhere a rename that does not overwrite, which name nodes do in one
+        step. A store without such a rename needs a committer of its own.
+        """
         part, target = self._path(f"{relative}.{uuid.uuid4().hex}"), self._path(relative)
         stream = self.fs.create(part, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.fs.exists(target) or not self.fs.rename(part, target):
+        hadoop = self.jvm.org.apache.hadoop.fs
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                link = self.jvm.java.nio.file.Files.createLink
+                link(self.jvm.java.io.File(target.toUri().getPath()).toPath(), self.jvm.java.io.File(part.toUri().getPath()).toPath())
+            else:
+                none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                hadoop.FileContext.getFileContext(target.toUri(), self.conf).rename(part, target, none)
+        except Py4JJavaError as e:
+            if not self.fs.exists(target):
+                raise
+            raise FileExistsError(relative) from e
+        finally:
             self.fs.delete(part, False)
-            raise FileExistsError(relative)
 
     def delete(self, relative: str) -> None:
         self.fs.delete(self._path(relative), True)
@@ -83,6 +99,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+        self._manifests: dict[str, dict] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: TableSchema) -> Table:
@@ -93,8 +110,10 @@ class Table:
         return table
 
     def history(self, upto: int | None = None) -> list[dict]:
-        """Manifests in order, a base in place of all that it sums up."""
-        out = [json.loads(self.files.read(name)) for name, _, _ in self.files.list("_manifest", ".json")]
+        """Manifests in order, a base in place of all that it sums up. They never change, so each is read once."""
+        names = [name for name, _, _ in self.files.list("_manifest", ".json")]
+        self._manifests = {n: self._manifests.get(n) or json.loads(self.files.read(n)) for n in names}
+        out = list(self._manifests.values())
         base = max((m["snapshot"] for m in out if m["kind"] == "base"), default=-1)
         out = [m for m in out if m["snapshot"] > base or (m["snapshot"] == base and m["kind"] == "base")]
         return [m for m in out if upto is None or m["snapshot"] <= upto]
@@ -144,7 +163,7 @@ class Table:
         committed before, or a batch without rows, makes no snapshot.
         """
         history = self.history()
-        if batch is not None and any(m.get("batch") == batch for m in history):
+        if batch is not None and self._applied(history, batch):
             return history[-1]["snapshot"]
         schema, number = self.schema(), history[-1]["snapshot"] + 1
         # Both files come from the same rows; keep those where the reads of the table must not be repeated.
@@ -156,17 +175,25 @@ class Table:
             deletes = self._write(changes.where("_op IN ('U', 'D')").select(*schema.key, stamp), "deletes", False)
         finally:
             changes.unpersist()
-        data, deletes = self._with_rows(data), self._with_rows(deletes)
+        files = self._with_rows([*data, *deletes])
+        data, deletes = ([f for f in files if f["path"].startswith(kind)] for kind in ("data/", "deletes/"))
         if not data and not deletes:
             return history[-1]["snapshot"]
         return self._commit(number, now_ms, {"kind": "append", "data": data, "deletes": deletes, "batch": batch})
 
+    @staticmethod
+    def _applied(history: list[dict], batch: int) -> bool:
+        """Whether a batch was committed before. Of expired snapshots the highest number is known: batches are numbered
+        upwards, so lower ones came before it."""
+        return any(m.get("batch") == batch or m["kind"] == "base" and m.get("batch") is not None and batch <= m["batch"] for m in history)
+
     def _with_rows(self, files: list[dict]) -> list[dict]:
         """Row counts from the files; those without rows are deleted."""
         if not files:
             return files
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        counts = dict(self.spark.read.parquet(*(f"{self.path}/{f['path']}" for f in files)).groupBy(name.alias("f")).count().collect())
+        # Without columns to read, the counts come from the files' footers.
+        counts = dict(self.spark.read.schema("_none int").parquet(*(f"{self.path}/{f['path']}" for f in files)).groupBy(name.alias("f")).count().collect())
         for f in files:
             f["rows"] = counts.get(f["path"].rsplit("/", 1)[-1], 0)
             if not f["rows"]:
@@ -266,6 +293,7 @@ class Table:
         cut, gone = old[-1], {p for m in old for p in m["removed"]}
         base = {"snapshot": cut["snapshot"], "timestamp_ms": cut["timestamp_ms"], "kind": "base", "schema": self.schema(cut["snapshot"]).to_json(), "removed": []}
         base |= {kind: [f for m in old for f in m[kind] if f["path"] not in gone] for kind in ("data", "deletes")}
+        base["batch"] = max((m["batch"] for m in old if m.get("batch") is not None), default=None)
         self.files.create(f"_manifest/{cut['snapshot']:012d}-base.json", json.dumps(base))
         for m in old:
             self.files.delete(f"_manifest/{m['snapshot']:012d}{'-base' if m['kind'] == 'base' else ''}.json")

@@ -16,6 +16,7 @@ from driftwell.operators import fold as folding
 from driftwell.operators.table import Table, hidden_partition
 from driftwell.plans.derived import KEY, LOG_SQL, STATE_SQL, load, orders_log, workspace
 from driftwell.sources import changelog, tables
+from driftwell.streaming.replicate import Cycle, apply_batch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -185,18 +186,33 @@ def expire_keeps_state(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
-@query("SELECT CAST(4 AS BIGINT) AS expired, CAST(2 AS BIGINT) AS orphans, CAST(2 AS BIGINT) AS protected")
+@query(f"""SELECT CAST(4 AS BIGINT) AS expired, CAST(2 AS BIGINT) AS deleted, CAST(2 AS BIGINT) AS bytes_freed, CAST(1 AS BIGINT) AS protected,
+count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS keys FROM ({STATE_SQL})""")
 def maintain_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Five commits; later one more snapshot, and two files that no manifest names."""
+    """Five commits a second apart and one later; two old files that no manifest names, and a new one."""
     table = _table(spark, d, _FIVE)
-    table.evolve(table.schema(), 60_000_000)
-    for name in ("data/lost/old.parquet", "data/lost/new.parquet"):
-        table.files.create(name, "x")
-    modified = [at for _, _, at in table.files.list("data/lost")]
-    expired = table.expire(59_996_000)
-    old, _ = table.orphans(now_ms=max(modified), grace_ms=0)
-    _, protected = table.orphans(now_ms=min(modified) - 1, grace_ms=0)
-    return spark.createDataFrame([(expired, len(old), protected)], "expired long, orphans long, protected long")
+    now = 60_000_000
+    table.evolve(table.schema(), now)
+    for name, age in (("old", 3_600_000), ("older", 7_200_000), ("new", 60_000)):
+        table.files.create(f"data/lost/{name}.parquet", "x")
+        table.files.fs.setTimes(table.files._path(f"data/lost/{name}.parquet"), now - age, -1)
+    out = table.maintain(now, retention_ms=now - 4_000, grace_ms=30 * 60_000)
+    counts = [F.lit(out[k]).cast("long").alias(k) for k in ("expired", "deleted", "bytes_freed", "protected")]
+    return table.read().agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("keys")).select(*counts, "rows", "keys")
+
+
+@query("SELECT CAST(n AS INTEGER) AS delete_commits, n >= 4 AS compacts FROM (VALUES (3), (4)) AS t(n)")
+def compaction_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """Not forced: three files of deletes are left alone, four are not."""
+    customers = load(spark, d, "customer").select("c_custkey", "c_mktsegment").coalesce(1)
+    found = []
+    table = Table.create(spark, workspace(spark, "trigger"), TableSchema.of(customers.schema, ["c_custkey"]))
+    table.commit(customers.withColumn("_op", F.lit("I")))
+    for i in range(1, 5):
+        table.commit(customers.where(F.col("c_custkey") == i).withColumn("_op", F.lit("D")))
+        if i >= 3:
+            found.append((i, table.compact() is not None))
+    return spark.createDataFrame(found, "delete_commits int, compacts boolean")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'source_only' WHEN o_orderkey % 13 = 0 THEN 'table_only' ELSE 'mismatched' END AS status FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0")
@@ -207,14 +223,28 @@ def verify_diff(spark: SparkSession, d: str) -> DataFrame:
     return verify.diff(source, table, KEY)
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS equal, false AS equal_after_change FROM orders")
+#: (case, what the other replica holds): changes of order, of a value, of where a NULL stands, and of how often a row comes.
+_REPLICAS = [
+    ("same", "SELECT o_custkey, a, b FROM x"),
+    ("changed", "SELECT CASE WHEN a = '7' THEN -1 ELSE o_custkey END AS o_custkey, a, b FROM x"),
+    ("null moved", "SELECT o_custkey, b AS a, a AS b FROM x"),
+    ("pair replaced", "SELECT o_custkey, CASE WHEN o_custkey < 20 THEN 'z' ELSE a END AS a, b FROM x"),
+]
+_REPLICA_SQL = "x AS (SELECT o_custkey, CAST(o_custkey % 10 AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM orders UNION ALL SELECT o_custkey, CAST(o_custkey % 10 AS VARCHAR), NULL FROM orders WHERE o_custkey < 20)"
+
+
+@query(f"WITH {_REPLICA_SQL} " + " UNION ALL ".join(f"SELECT '{case}' AS replica, NOT EXISTS ((SELECT * FROM x EXCEPT ALL ({other})) UNION ALL (({other}) EXCEPT ALL SELECT * FROM x)) AS equal" for case, other in _REPLICAS))
 def replica_checksums(spark: SparkSession, d: str) -> DataFrame:
-    orders = load(spark, d, "orders")
-    other = orders.orderBy(F.desc("o_orderkey"))
-    changed = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") == 1, -1).otherwise(F.col("o_custkey")))
-    x, y, z = (verify.checksums(t, KEY, 64).select("bucket", F.struct("rows", "checksum").alias(n)) for t, n in ((orders, "x"), (other, "y"), (changed, "z")))
-    both = x.join(y, "bucket", "full_outer").join(z, "bucket", "full_outer")
-    return both.agg(F.sum("x.rows").alias("rows"), F.every(F.col("x").eqNullSafe(F.col("y"))).alias("equal"), F.every(F.col("x").eqNullSafe(F.col("z"))).alias("equal_after_change"))
+    """Rows with NULLs, several rows of one key, and rows that come twice."""
+    rows = load(spark, d, "orders").select("o_custkey", (F.col("o_custkey") % 10).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    rows = rows.unionByName(rows.where("o_custkey < 20"))
+    out = None
+    for case, other in _REPLICAS:
+        replica = spark.sql(other.replace("FROM x", "FROM {x}"), x=rows)
+        x, y = (verify.checksums(t, ["o_custkey"], 64).select("bucket", F.struct("rows", "checksum", "high", "low").alias(n)) for t, n in ((rows, "x"), (replica, "y")))
+        same = x.join(y, "bucket", "full_outer").agg(F.every(F.col("x").eqNullSafe(F.col("y"))).alias("equal")).select(F.lit(case).alias("replica"), "equal")
+        out = same if out is None else out.unionByName(same)
+    return out
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1995-03-31'")
@@ -272,10 +302,38 @@ def part_bucket_long(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("o_orderkey", hidden_partition("bucket[16](o_orderkey)", orders).alias("b"))
 
 
-@query("""WITH bytes AS (SELECT p_partkey, substr(p_name, 1, 6) AS s FROM part WHERE length(p_name) >= 6), """ + _murmur_sql(["(ascii(substr(s, 1, 1)) + ascii(substr(s, 2, 1)) * 256 + ascii(substr(s, 3, 1)) * 65536 + ascii(substr(s, 4, 1)) * 16777216)"], "(ascii(substr(s, 5, 1)) + ascii(substr(s, 6, 1)) * 256)", "6", "bytes", "p_partkey")[5:])
+@query(None)
 def part_bucket_string(spark: SparkSession, d: str) -> DataFrame:
-    part = load(spark, d, "part").where("length(p_name) >= 6").select("p_partkey", F.substring("p_name", 1, 6).alias("s"))
-    return part.select("p_partkey", hidden_partition("bucket[16](s)", part).alias("b"))
+    """Whole names of any length; tests hold the hash against a plain one."""
+    part = load(spark, d, "part")
+    return part.select("p_partkey", hidden_partition("bucket[16](p_name)", part).alias("b"))
+
+
+@query(_murmur_sql(["date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) % 4294967296", "0"], "", "8", "orders", "o_orderkey"))
+def part_bucket_date(spark: SparkSession, d: str) -> DataFrame:
+    orders = load(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return orders.select("o_orderkey", hidden_partition("bucket[16](day)", orders).alias("b"))
+
+
+@query(_murmur_sql(["epoch_us(ts) % 4294967296", "epoch_us(ts) // 4294967296"], "", "8", "events", "event_id"))
+def part_bucket_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    events = load(spark, d, "events")
+    return events.select("event_id", hidden_partition("bucket[16](ts)", events).alias("b"))
+
+
+@query(_murmur_sql([], "o_orderkey % 100", "1", "orders", "o_orderkey"))
+def part_bucket_decimal(spark: SparkSession, d: str) -> DataFrame:
+    """Unscaled values below 128 are one byte, of any precision."""
+    orders = load(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") % 100) / F.lit(100)).cast("decimal(30,2)").alias("v"))
+    return orders.select("o_orderkey", hidden_partition("bucket[16](v)", orders).alias("b"))
+
+
+@query(_murmur_sql(["o_orderkey % 256 * 16777216", "0", "0", "o_orderkey // 256 % 256"], "", "16", "orders", "o_orderkey"))
+def part_bucket_uuid(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    byte = lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")
+    text = F.concat(F.lit("000000"), byte(k % 256), F.lit("-0000-0000-0000-0000"), byte(F.floor(k / 256) % 256), F.lit("000000"))
+    return load(spark, d, "orders").select("o_orderkey", partition.uuid_bucket(text, 16).alias("b"))
 
 
 @query("""SELECT o_orderkey, o_orderkey - 5000 - (((o_orderkey - 5000) % 100) + 100) % 100 AS w, substr(o_orderpriority, 1, 3) AS s,
@@ -314,6 +372,60 @@ def key_change_split(spark: SparkSession, d: str) -> DataFrame:
     return changelog.split_key_changes(changes, ["k"], ["k", "o_custkey"]).select(F.col("_seq").alias("seq"), F.col("_op").alias("op"), "k")
 
 
+@query("""SELECT o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
+CASE WHEN o_orderkey % 8 = 0 THEN 'fresh' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def key_change_staged(spark: SparkSession, d: str) -> DataFrame:
+    """Moved keys that leave out a value, through staged files; half of them were updated in the same batch before."""
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderpriority")
+    table = Table.create(spark, workspace(spark, "moved"), TableSchema.of(orders.schema, ["k"]))
+    table.commit(orders.withColumn("_op", F.lit("I")))
+    row = lambda k, c, p: F.struct(k.alias("k"), c.alias("o_custkey"), p.alias("o_orderpriority"))
+    k, c, none = F.col("k"), F.col("o_custkey"), F.lit(None).cast("string")
+    fresh = orders.where("k % 8 = 0").select(F.lit("U").alias("_op"), (k * 2).alias("_seq"), F.array().cast("array<string>").alias("_unchanged"), F.lit(None).cast("struct<k: bigint, o_custkey: bigint, o_orderpriority: string>").alias("before"), row(k, c, F.lit("fresh")).alias("after"))
+    moved = orders.where("k % 4 = 0").select(F.lit("U").alias("_op"), (k * 2 + 1).alias("_seq"), F.array(F.lit("o_orderpriority")).alias("_unchanged"), row(k, c, none).alias("before"), row(k + 1_000_000, c + 1, none).alias("after"))
+    path = workspace(spark, "staged")
+    changelog.write_staged(changelog.split_key_changes(changelog.checked(fresh.unionByName(moved)), ["k"], ["k", "o_custkey", "o_orderpriority"]), path)
+    apply_batch(table, changelog.read_staged(spark, path, table.schema().struct(), ["k"]), 0, compact=False)
+    return table.read()
+
+
+def _cycles(spark: SparkSession, d: str) -> Cycle:
+    """The orders log as two staged files, each run as a cycle; a marker for each nation."""
+    table = Table.create(spark, workspace(spark, "orders"), _orders_schema(spark, d))
+    controls = control.Tables(spark, workspace(spark, "control"))
+    controls.create()
+    cycle = Cycle("orders", table, controls)
+    controls.register("orders")
+    sizes = spark.createDataFrame([("orders", i, 10, f"file-{i}", 100 * i) for i in (1, 2)], "table_name string, claim_no long, record_count long, s3_path string, flushable_lsn long")
+    controls.stage(sizes)
+    controls.put("pending_markers", load(spark, d, "nation").select(F.col("n_name").alias("uuid"), (F.col("n_nationkey") * 10).cast("long").alias("commit_lsn")))
+    log = orders_log(spark, d).withColumn("_lsn", F.col("_seq")).withColumn("_xid", F.col("o_orderkey") % 7).withColumn("_ts", F.col("o_orderdate").cast("timestamp"))
+    closed = cycle.run(log.where(_TWO[0]), 0, 1_000, 10)
+    assert closed is None and table.snapshot == 0, "the gate lets nothing through before the snapshot is complete"
+    controls.snapshot_done("orders", 1)
+    for i, condition in enumerate(_TWO):
+        for _ in range(2):  # a replay adds nothing
+            cycle.run(log.where(condition), i, (i + 1) * 1_000, (i + 1) * 10)
+    return cycle
+
+
+@query(f"""WITH m AS (SELECT n_name AS uuid, CASE WHEN n_nationkey * 10 < 200 THEN 1 ELSE 2 END AS snapshot_id FROM nation)
+SELECT uuid, CAST(snapshot_id AS BIGINT) AS snapshot_id, (SELECT count(*) FROM ({STATE_SQL})) AS rows FROM m""")
+def marker_emission(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot at which each marker was given out, and the rows of the table in the end."""
+    cycle = _cycles(spark, d)
+    rows = F.broadcast(cycle.table.read().agg(F.count("*").alias("rows")))
+    return cycle.control.read("marker_emissions").select("uuid", "snapshot_id").crossJoin(rows)
+
+
+@query(f"""WITH {LOG_SQL}, b AS (SELECT CASE WHEN seq % 10 = 0 THEN 1 ELSE 2 END AS snapshot_id, * FROM log)
+SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id, 'orders' AS table_name, max(seq) AS lsn, count(*) AS rows, CAST(count(DISTINCT o_orderkey % 7) AS INTEGER) AS tx_count, snapshot_id = 2 AS has_deletes, max(o_orderdate) AS max_source_ts FROM b GROUP BY snapshot_id""")
+def commit_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each commit, whatever was replayed."""
+    rows = spark.read.parquet(_cycles(spark, d).control.path("commits"))
+    return rows.select("snapshot_id", "table_name", "lsn", "rows", "tx_count", (F.coalesce("delete_files", F.lit(0)) > 0).alias("has_deletes"), F.col("max_source_ts").cast("timestamp_ntz").alias("max_source_ts"))
+
+
 @query("SELECT event_id, user_id AS xid, CAST(user_id * 10 AS BIGINT) AS commit_seq FROM events WHERE user_id % 4 <> 0")
 def commit_filter(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").select(F.lit("I").alias("_op"), F.col("event_id").alias("_seq"), F.col("user_id").alias("_xid"), "event_id")
@@ -419,10 +531,10 @@ def assign_tables(spark: SparkSession, d: str) -> DataFrame:
     return control.assign(load(spark, d, "nation").select(F.col("n_name").alias("table_name")), load(spark, d, "region").select(F.col("r_name").alias("worker_id")))
 
 
-@query("SELECT user_id, max(ts) AS expires_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-20'")
+@query("SELECT user_id, max(ts) AS expires_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 16:00:00'")
 def consumer_expiry(spark: SparkSession, d: str) -> DataFrame:
     consumers = load(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("expires_at"))
-    return control.expired(consumers, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return control.expired(consumers, F.lit("2024-01-30 16:00:00").cast("timestamp_ntz"))
 
 
 @query("""SELECT 3 AS rule, n_name AS table_name FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 6, n_name FROM nation WHERE n_nationkey % 3 = 0
@@ -538,8 +650,7 @@ def meta_compaction_effect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(length(o_orderpriority) AS INTEGER) AS n, substr(o_orderpriority, 1, 1) AS c, round(o_totalprice, 6) AS p FROM (" + STATE_SQL + ") ORDER BY o_orderkey, n")
 def select_from_table(spark: SparkSession, d: str) -> DataFrame:
-    _table(spark, d, _TWO).read().createOrReplaceTempView("replicated_orders")
-    return spark.sql("SELECT o_orderkey, length(o_orderpriority) AS n, substr(o_orderpriority, 1, 1) AS c, round(o_totalprice, 6) AS p FROM replicated_orders ORDER BY o_orderkey, n")
+    return spark.sql("SELECT o_orderkey, length(o_orderpriority) AS n, substr(o_orderpriority, 1, 1) AS c, round(o_totalprice, 6) AS p FROM {orders} ORDER BY o_orderkey, n", orders=_table(spark, d, _TWO).read())
 
 
 @query("SELECT c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM (" + STATE_SQL + ") JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")

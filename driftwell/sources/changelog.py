@@ -42,11 +42,15 @@ def stage(log: DataFrame) -> DataFrame:
     return log.where("_op <> 'R'").select("_op", _or_null(log, "_lsn", "long"), _or_null(log, "_ts", "timestamp"), unchanged.alias("_unchanged_cols"), data.alias("_data"), _or_null(log, "_xid", "long"), "_seq")
 
 
-def unstage(staged: DataFrame, schema: T.StructType) -> DataFrame:
-    """The log back from the envelope, straight to the table's present types; an unknown operation raises."""
+def unstage(staged: DataFrame, schema: T.StructType, key: list[str] = ()) -> DataFrame:
+    """The log back from the envelope, straight to the table's present types; an unknown operation raises.
+
+    With the key's names, rows of a moved key bring the old one back in `_old_<key>` columns.
+    """
     known = F.when(F.col("_op").isin(*OPS), F.col("_op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.col("_op"))).cast("string"))
     unchanged = F.coalesce(F.from_json("_unchanged_cols", "array<string>"), F.array().cast("array<string>"))
-    parsed = staged.select(known.alias("_op"), "_seq", "_lsn", "_ts", "_xid", unchanged.alias("_unchanged"), F.from_json("_data", schema, {"mode": "FAILFAST"}).alias("row"))
+    old = [T.StructField(f"_old_{k}", schema[k].dataType) for k in key]
+    parsed = staged.select(known.alias("_op"), "_seq", "_lsn", "_ts", "_xid", unchanged.alias("_unchanged"), F.from_json("_data", T.StructType([*schema.fields, *old]), {"mode": "FAILFAST"}).alias("row"))
     return parsed.select("_op", "_seq", "_lsn", "_ts", "_xid", "_unchanged", "row.*")
 
 
@@ -54,8 +58,13 @@ def write_staged(log: DataFrame, path: str, rows_per_file: int = 1_000_000) -> N
     stage(log).write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def read_staged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return unstage(spark.read.schema(STAGED).parquet(path), schema)
+def read_staged(spark: SparkSession, path: str, schema: T.StructType, key: list[str] = ()) -> DataFrame:
+    return unstage(spark.read.schema(STAGED).parquet(path), schema, key)
+
+
+def without_keepalives(messages: DataFrame) -> DataFrame:
+    """Stream messages but those that only say the source is alive (`_op` K): they carry a position and no change."""
+    return messages.where("_op <> 'K'")
 
 
 def committed(log: DataFrame, commits: DataFrame) -> DataFrame:
@@ -69,6 +78,7 @@ def committed(log: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def flushable_lsn(log: DataFrame) -> DataFrame:
+    """The position up to which the source may forget, once the log's rows are kept. Keepalives count."""
     return log.agg(F.max("_lsn").alias("flushable_lsn"))
 
 
@@ -77,6 +87,13 @@ def check_payload(op: Column, before: Column, after: Column) -> Column:
     return F.when(op.isin("I", "U"), after.isNotNull()).when(op == "D", before.isNotNull()).otherwise(True)
 
 
+def checked(changes: DataFrame) -> DataFrame:
+    """Changes with `before` and `after` structs; one that does not carry what its operation needs raises."""
+    fine = check_payload(F.col("_op"), F.col("before"), F.col("after"))
+    message = F.concat(F.lit("no row in change "), F.col("_seq").cast("string"))
+    return changes.withColumn("_op", F.when(fine, F.col("_op")).otherwise(F.raise_error(message).cast("string")))
+
+
 def split_key_changes(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Changes with `before` and `after` structs to log rows: an update that moves the key deletes the old one first.
 

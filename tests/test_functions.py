@@ -1,6 +1,6 @@
 import datetime as dt
 import struct
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +57,25 @@ def test_bucket_of_decimals(spark, value):
     assert transformed(spark, "bucket[97](c)", [Decimal(value)], T.DecimalType(10, 2)) == [want]
 
 
+@pytest.mark.parametrize("kind", [T.DecimalType(38, 0), T.DecimalType(30, 2), T.DecimalType(38, 10)])
+def test_bucket_of_wide_decimals(spark, kind):
+    step = Decimal(1).scaleb(-kind.scale)
+    whole = [0, 1, 127, 128, -1, -128, -129, 1 << 31, 1 << 32, (1 << 63) - 1, 1 << 63, -(1 << 63) - 1, 1 << 90, -(1 << 90), 10**kind.precision - 1, 1 - 10**kind.precision]
+    values = [i for i in whole if abs(i) < 10**kind.precision]
+    size = lambda i: next(n for n in range(1, 17) if -(1 << (8 * n - 1)) <= i < 1 << (8 * n - 1))
+    want = [(murmur(i.to_bytes(size(i), "big", signed=True)) & 0x7FFFFFFF) % 97 for i in values]
+    with localcontext(prec=60):
+        assert transformed(spark, "bucket[97](c)", [i * step for i in values], kind) == want
+
+
+def test_bucket_of_whole_names(spark, sf_dir):
+    from driftwell.plans import catalog
+
+    names = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    got = {r.p_partkey: r.b for r in catalog.queries()["part_bucket_string"](spark, sf_dir).collect()}
+    assert got == {k: (murmur(n.encode()) & 0x7FFFFFFF) % 16 for k, n in names.items()}
+
+
 @pytest.mark.parametrize("bad", ["", "bucket(c)", "bucket[0](c)", "hourly(c)", "truncate[](c)", "year[2](c)", "a b"])
 def test_grammar_errors(bad):
     with pytest.raises(ValueError):
