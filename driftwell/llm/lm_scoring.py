@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftwell.llm.shared import Scratch, utf8
 from driftwell.llm.words import space_words
@@ -24,7 +24,14 @@ CLASSES, HASHED = 32, 64
 WORDS = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE, SEED = 16, 8192, 0.15, 5
-
+#: Classes at most: a network of a million words has 340 MB. What is gathered of rarer words goes on growing in the table
+#: of counts (see `_within`).
+MOST_CLASSES = 1024
+#: Words that share a number of which the workers know the counts; those of the others are joined in. Which words these
+#: are changes no result.
+KNOWN = 200_000
+#: Scores above this are shifted before they are raised, so that the exponents stay finite whatever the weights.
+SAFE = 60.0
 
 #: Floats of a network: so many for each of its words, and so many besides.
 _PER_WORD, _BESIDES = (len(OFFSETS) + 1) * WIDTH + 1, (len(OFFSETS) + 1) * WIDTH
@@ -36,7 +43,7 @@ UNIT = 1_000_000
 
 def classes_for(distinct: int) -> int:
     """The cube root of the distinct words: the network's words grow as their power of two thirds."""
-    return max(CLASSES, math.ceil(round(distinct ** (1 / 3), 6)))
+    return min(MOST_CLASSES, max(CLASSES, math.ceil(round(distinct ** (1 / 3), 6))))
 
 
 def shared_numbers(words: int) -> int:
@@ -48,20 +55,55 @@ def _bucket(word: Column, shared: int) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(word), 1), F.lit(shared)).cast("int")
 
 
-class Vocabulary(dict):
-    """word -> number."""
+class Vocabulary:
+    """Numbers of words, and what a word's share of its number is worth where that is known here.
 
-    def __init__(self, frequent: list[bytes], words: int = WORDS):
-        super().__init__((w, i) for i, w in enumerate(frequent))
-        self.fixed, self.words, self.shared = len(frequent), words, shared_numbers(words)
-        self.own = words - self.shared
+    known: (word, bucket, log_p) of some of the words that share numbers, as `_within` has them.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.fixed + 200_000:
-            for w in [w for w, i in self.items() if i >= self.own]:
-                del self[w]
-        self[word] = n = self.own + (xxhash.xxh64_intdigest(word, 42) >> 1) % self.shared
-        return n
+    def __init__(self, frequent: list[bytes], words: int = WORDS, known: list[tuple[bytes, int, int]] = ()):
+        self.words, self.shared = words, shared_numbers(words)
+        self.own = words - self.shared
+        self.at = {w: i for i, w in enumerate([*frequent, *(w for w, _, _ in known)])}
+        kind = np.uint16 if words < 1 << 16 else np.uint32
+        # Two more places: the last but one for words not known here, the last for padding.
+        self.numbers = np.concatenate([np.arange(len(frequent)), self.own + np.array([b for _, b, _ in known], np.int64), [0, words]]).astype(kind)
+        self.log_p = np.concatenate([np.zeros(len(frequent), np.int64), np.array([p for _, _, p in known], np.int64), [0, 0]])
+
+    def __getitem__(self, word: bytes) -> int:
+        return int(self.numbered([word])[0][max(OFFSETS)])
+
+    def _shared_number(self, word: bytes) -> int:
+        return self.own + (xxhash.xxh64_intdigest(word, 42) >> 1) % self.shared
+
+    def numbered(self, texts: list[bytes | None], with_rest: bool = False) -> tuple:
+        """Word numbers of all texts with padding around each, where the words are, how many each text has, the sum of
+        each text's known shares, and on request the counts of each text's other words without a number of their own."""
+        far = max(OFFSETS)
+        unknown, padding = len(self.numbers) - 2, len(self.numbers) - 1
+        get, rest, pad = self.at.get, repeat(unknown), [padding] * far
+        places, words, counts = list(pad), [b""] * far, []
+        for t in texts:
+            found = space_words(t) if t else []
+            counts.append(len(found))
+            places += map(get, found, rest)
+            places += pad
+            words += found
+            words += [b""] * far
+        places = np.array(places, np.int64)
+        numbers = self.numbers[places]
+        missed = np.flatnonzero(places == unknown)
+        if len(missed):
+            numbers[missed] = [self._shared_number(words[i]) for i in missed.tolist()]
+        counts = np.array(counts, np.int64)
+        ends = far + np.cumsum(counts + far) - far
+        upto = np.concatenate([[0], np.cumsum(self.log_p[places])])
+        out = numbers, np.flatnonzero(places != padding), counts, upto[ends] - upto[ends - counts]
+        if not with_rest:
+            return out
+        edges = np.searchsorted(missed, np.concatenate([[0], ends])).tolist()
+        missed = missed.tolist()
+        return *out, [Counter(words[i] for i in missed[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 @dataclass
@@ -111,40 +153,50 @@ class Window:
 
     def log_likelihood(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each masked word given the words around it."""
-        h = self.hidden(around)
         of, inside = _split(word, len(self.words))
-        out = _log_softmax(h @ self.classes)[np.arange(len(word)), of].astype(np.float64)
+        order = np.argsort(of, kind="stable")
+        of, inside, h = of[order], inside[order], self.hidden(around[:, order])
+        found = _log_of(h @ self.classes, of).astype(np.float64)
         for c, rows in _by_class(of, len(self.words)):
-            out[rows] += _log_softmax(h[rows] @ self.words[c])[np.arange(len(rows)), inside[rows]]
+            found[rows] += _log_of(h[rows] @ self.words[c], inside[rows])
+        out = np.empty(len(word))
+        out[order] = found
         return out
 
     def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
         """One AdaGrad step on the mean negative log-likelihood of a batch. Words and classes that the batch doesn't
         hold have no gradient and are not touched."""
-        n = np.float32(len(word))
-        h = self.hidden(around)
-        of, inside = _split(word, len(self.words))
         m_embed, m_bias, m_classes, m_words = memory
-        p = np.exp(_log_softmax(h @ self.classes))
-        p[np.arange(len(word)), of] -= 1
-        p /= n
-        back = p @ self.classes.T
+        g_embed, g_bias, g_classes, g_words = self.gradients(word, around)
+        for k, (some, g) in enumerate(g_embed):
+            m_embed[k][some] = m = m_embed[k][some] + g * g
+            self.embed[k][some] -= RATE * g / np.sqrt(m)
+        _step(self.bias, g_bias, m_bias)
+        _step(self.classes, g_classes, m_classes)
+        for c, g in g_words:
+            _step(self.words[c], g, m_words[c])
+
+    def gradients(self, word: np.ndarray, around: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list]:
+        """Of the mean negative log-likelihood: (for each offset the words that have one and theirs, of the biases, of
+        the classes, (class, of its words) for each class that the batch holds)."""
+        of, inside = _split(word, len(self.words))
+        order = np.argsort(of, kind="stable")  # rows of one class lie together from here on
+        of, inside, around = of[order], inside[order], around[:, order]
+        n, h = np.float32(len(word)), self.hidden(around)
+        p = _error(h @ self.classes, of, n)
+        back, g_words = p @ self.classes.T, []
         for c, rows in _by_class(of, len(self.words)):
-            q = np.exp(_log_softmax(h[rows] @ self.words[c]))
-            q[np.arange(len(rows)), inside[rows]] -= 1
-            q /= n
+            q = _error(h[rows] @ self.words[c], inside[rows], n)
             back[rows] += q @ self.words[c].T
-            _step(self.words[c], h[rows].T @ q, m_words[c])
+            g_words.append((c, h[rows].T @ q))
         back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
-        for k in range(len(OFFSETS)):
-            by = np.argsort(around[k], kind="stable")
-            near = around[k][by]
+        g_embed = []
+        for near in around:
+            by = np.argsort(near, kind="stable")
+            near = near[by]
             first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-            some, g = near[first], np.add.reduceat(back[by], first)
-            m_embed[k][some] = m = m_embed[k][some] + g * g
-            self.embed[k][some] -= RATE * g / np.sqrt(m)
-        _step(self.bias, back.sum(axis=0), m_bias)
-        _step(self.classes, h.T @ p, m_classes)
+            g_embed.append((near[first], np.add.reduceat(back[by], first)))
+        return g_embed, back.sum(axis=0), h.T @ p, g_words
 
 
 def _step(a: np.ndarray, g: np.ndarray, m: np.ndarray) -> None:
@@ -152,9 +204,27 @@ def _step(a: np.ndarray, g: np.ndarray, m: np.ndarray) -> None:
     a -= RATE * g / np.sqrt(m)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """In place. The scores are dot products of tanh values with small weights, far from overflow."""
-    x -= np.log(np.exp(x) @ np.ones((x.shape[1], 1), x.dtype))
+def _raised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of scores, in place, and its sums over rows; rows are shifted by their largest score where one is large."""
+    if x.size and x.max() > SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    return x, x @ np.ones((x.shape[1], 1), x.dtype)
+
+
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of scores at one place of each row."""
+    if x.size and x.max() > SAFE:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(at)), at]
+    return own - np.log(_raised(x)[1][:, 0])
+
+
+def _error(x: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
+    """Softmax of scores less one at the right place, over n."""
+    x, total = _raised(x)
+    x *= 1 / (total * n)
+    x[np.arange(len(at)), at] -= 1 / n
     return x
 
 
@@ -163,25 +233,12 @@ def _split(word: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     return (word % classes).astype(kind), (word // classes).astype(kind)
 
 
-def _by_class(of: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, rows of it); keys of eight or sixteen bits are sorted by radix."""
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(classes + 1))
-    for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        yield c, order[edges[c] : edges[c + 1]]
-
-
-def _numbered(texts: list[bytes | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all texts with padding around each, where the words are, and how many each text has."""
-    far, padding = max(OFFSETS), vocabulary.words
-    flat, counts = [padding] * far, []
-    for t in texts:
-        n = list(map(vocabulary.__getitem__, space_words(t))) if t else []
-        counts.append(len(n))
-        flat += n
-        flat += [padding] * far
-    ids = np.array(flat, np.uint16 if padding < 1 << 16 else np.uint32)
-    return ids, np.flatnonzero(ids < padding), np.array(counts, np.int64)
+def _by_class(of: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
+    """(class, its rows) of rows sorted by class."""
+    edges = np.searchsorted(of, np.arange(classes + 1)).tolist()
+    for c, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        if lo < hi:
+            yield c, slice(lo, hi)
 
 
 def _around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -204,14 +261,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _train(shared, classes: int):
+def _train(frequent, known, classes: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = Window.fresh(classes), 0
-        vocabulary = Vocabulary(shared.value, net.n_words)
+        vocabulary = Vocabulary(frequent.value, net.n_words, known.value)
         memory = [np.full_like(a, 1e-6) for a in net.arrays()]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                ids, at, _ = _numbered(batch.column(0).slice(lo, 256).to_pylist(), vocabulary)
+                ids, at, _, _ = vocabulary.numbered(batch.column(0).slice(lo, 256).to_pylist())
                 for b in range(0, len(at), BATCH):
                     part = at[b : b + BATCH]
                     net.train(ids[part], _around(ids, part), memory)
@@ -236,36 +293,35 @@ def _average(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_piece(rows[0]["part"], rows[0]["piece"], seen, mean.astype(np.float32))])
 
 
-def _score(frequent, weights):
+def _score(frequent, known, weights):
+    """(key, n_words, log_p, shares, words): of every text the network's log-probability, the shares known here in
+    millionths, and the words that have neither a number of their own nor a known share, with how often they come."""
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window.of(np.frombuffer(weights.value, np.float32))
-        vocabulary = Vocabulary(frequent.value, net.n_words)
+        vocabulary = Vocabulary(frequent.value, net.n_words, known.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids, at, counts = _numbered(part.column(2).to_pylist(), vocabulary)
+                ids, at, counts, shares, rest = vocabulary.numbered(part.column(1).to_pylist(), with_rest=True)
                 logs = [net.log_likelihood(ids[p], _around(ids, p)) for p in (at[b : b + BATCH] for b in range(0, len(at), BATCH))]
                 upto = np.concatenate([[0.0], np.cumsum(np.concatenate(logs or [np.empty(0)]))])
                 ends = np.cumsum(counts)
                 total = upto[ends] - upto[ends - counts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), pa.array(total, pa.float64())], ["row", "key", "n_words", "pseudo_log_likelihood"])
+                words = pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rest], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(total, pa.float64()), pa.array(shares, pa.int64()), words], ["key", "n_words", "log_p", "shares", "words"])
 
     return score
 
 
-def _rare_words(frequent):
-    """(key, words): every text's words without a number of their own, and how often it has each."""
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = frozenset(frequent.value)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                found = [[{"word": w, "n": n} for w, n in Counter(space_words(t)).items() if w not in own] if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["key", "words"])
-
-    return rare
+def _known(within: DataFrame) -> list[tuple[bytes, int, int]]:
+    """KNOWN or fewer of the words of `_within`, of the larger shares."""
+    words = within.where("word IS NOT NULL")
+    n = words.count()
+    if n > KNOWN:
+        words = words.where(F.col("log_p") >= words.agg(F.percentile_approx("log_p", 1 - KNOWN / n)).first()[0])
+    return [(bytes(r["word"]), r["bucket"], r["log_p"]) for r in words.limit(KNOWN).collect()]
 
 
 def _within(counted: DataFrame, frequent: list[tuple[bytes, int]], shared: int) -> DataFrame:
@@ -304,8 +360,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], bytes,
     taken = [(bytes(r["word"]), r["n"]) for r in counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(room).collect()]
     frequent = [w for w, _ in taken]
     within = scratch.keep(_within(counted, taken, shared), "within")
-    schema = "part long, piece long, seen long, weights binary"
-    nets = scratch.keep(texts.mapInArrow(_train(docs.sparkSession.sparkContext.broadcast(frequent), classes), schema), "networks")
+    schema, sc = "part long, piece long, seen long, weights binary", docs.sparkSession.sparkContext
+    nets = scratch.keep(texts.mapInArrow(_train(sc.broadcast(frequent), sc.broadcast(_known(within)), classes), schema), "networks")
     groups = max(1, math.isqrt(nets.where("piece = 0").count()))
     first = nets.withColumn("g", F.pmod("part", F.lit(groups))).groupBy("g", "piece").applyInArrow(_average, schema)
     mean = first.groupBy("piece").applyInArrow(_average, schema).collect()
@@ -324,20 +380,24 @@ def score(docs: DataFrame, frequent: list[bytes], weights: bytes, within: DataFr
     sum of 0. Texts are read whole. Columns stay inside `row`, so no name can clash. An empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    own, net = sc.broadcast(frequent), Window.of(np.frombuffer(weights, np.float32))
+    scratch = Scratch(docs.sparkSession, "lm-scores")
+    known, net = _known(within), Window.of(np.frombuffer(weights, np.float32))
     text = utf8(F.col(f"`{text_col}`"))
     key = F.unhex(F.md5(text)).alias("key")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, text.alias("utf8"))
-    schema = T.StructType([rows.schema["row"], T.StructField("key", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("pseudo_log_likelihood", T.DoubleType())])
-    scored = rows.mapInArrow(_score(own, sc.broadcast(weights)), schema)
+    schema = "key binary, n_words long, log_p double, shares long, words array<struct<word: binary, n: long>>"
+    scored = docs.select(key, text.alias("utf8")).mapInArrow(_score(sc.broadcast(frequent), sc.broadcast(known), sc.broadcast(weights)), schema)
+    scored = scratch.keep(scored, "scored")
 
-    rare = docs.select(key, text.alias("utf8")).mapInArrow(_rare_words(own), "key binary, words array<struct<word: binary, n: long>>")
-    rare = rare.select("key", F.posexplode("words").alias("at", "w")).select("key", F.col("w.word").alias("word"), F.col("w.n").alias("n"), (F.col("at") == 0).cast("long").alias("first"))
+    rare = scored.select("key", F.posexplode("words").alias("at", "w")).select("key", F.col("w.word").alias("word"), F.col("w.n").alias("n"), (F.col("at") == 0).cast("long").alias("first"))
     new = F.broadcast(within.where("word IS NULL").select("bucket", F.col("log_p").alias("new")))
     rare = rare.join(within.where("word IS NOT NULL").select("word", "log_p"), "word", "left")
     rare = rare.withColumn("bucket", _bucket(F.col("word"), shared_numbers(net.n_words))).join(new, "bucket")
     spelled = F.round((F.length("word") + 1) * (math.log(256) * UNIT)).cast("long")
     # Rows of equal texts share a key: each has the text's first rare word once.
-    sums = rare.groupBy("key").agg((F.sum(F.col("n") * F.coalesce("log_p", F.col("new") - spelled)) / F.sum("first") / UNIT).alias("rare"))
-    total = (F.col("pseudo_log_likelihood") + F.coalesce("rare", F.lit(0.0))).alias("pseudo_log_likelihood")
-    return scored.join(sums, "key", "left").select("row", "n_words", total)
+    sums = rare.groupBy("key").agg((F.sum(F.col("n") * F.coalesce("log_p", F.col("new") - spelled)) / F.sum("first")).alias("rare"))
+    # Equal texts have equal scores, so one row of each text is enough.
+    once = scored.groupBy("key").agg(F.min("n_words").alias("n_words"), F.min("log_p").alias("log_p"), F.min("shares").alias("shares")).join(sums, "key", "left")
+    total = F.col("log_p") + (F.col("shares") + F.coalesce("rare", F.lit(0.0))) / UNIT
+    once = once.select("key", "n_words", total.alias("pseudo_log_likelihood"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key)
+    return rows.join(once, "key", "left").select("row", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("pseudo_log_likelihood", F.lit(0.0)).alias("pseudo_log_likelihood"))

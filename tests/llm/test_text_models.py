@@ -214,6 +214,49 @@ def test_gradients():
     assert np.array_equal(lm_scoring.Window.of(net.flat()).words, net.words)
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    net = lm_scoring.Window.fresh()
+    for a in net.arrays():
+        a += rng.normal(0, 0.3, a.shape).astype(np.float32)
+    wide = lm_scoring.Window(*(a.astype(np.float64) for a in net.arrays()))
+    word, around = rng.integers(0, lm_scoring.WORDS, 40), rng.integers(0, 40, (4, 40))
+    loss = lambda: -wide.log_likelihood(word, around).mean()
+    g_embed, g_bias, g_classes, g_words = wide.gradients(word, around)
+    checked = [(wide.bias, g_bias), (wide.classes, g_classes), *((wide.words[c], g) for c, g in g_words[:3])]
+    for k, (some, g) in enumerate(g_embed):
+        checked.append((wide.embed[k, int(some[0])], g[0]))
+    for a, g in checked:
+        for i in rng.choice(a.size, 5):
+            at, step = np.unravel_index(i, a.shape), 1e-5
+            was = a[at]
+            a[at] = was + step
+            up = loss()
+            a[at] = was - step
+            down = loss()
+            a[at] = was
+            assert g[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-6)
+
+
+def test_large_weights_stay_finite():
+    net = lm_scoring.Window.fresh()
+    net.classes *= 1e4
+    net.words *= 1e4
+    out = net.log_likelihood(np.arange(32), np.zeros((4, 32), np.int64))
+    assert np.isfinite(out).all() and (out <= 0).all()
+
+
+def test_gibberish_scores_below_text(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = lm_scoring.learn(docs)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    own = [(r.doc_id, r.text) for r in docs.where("doc_id < 60").collect() if r.text and len(r.text.split()) > 20]
+    noise = [(i, " ".join(word() for _ in t.split())) for i, t in own]
+    mean = lambda rows: [r.pseudo_log_likelihood / r.n_words for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), *model).collect()]
+    assert max(mean(noise)) < min(mean(own))
+
+
 def test_word_order_matters(spark):
     rng = random.Random(1)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(3, "doc_id")
@@ -234,7 +277,9 @@ def test_word_order_matters(spark):
     assert lm_scoring.learn(docs.limit(0))[0] == []
 
 
-def test_words_beyond_the_network(spark):
+@pytest.mark.parametrize("known", [200_000, 1_000, 0])
+def test_words_beyond_the_network(spark, monkeypatch, known):
+    monkeypatch.setattr(lm_scoring, "KNOWN", known)
     # 40,001 distinct words; rare ones of one shared number have counts 1 to 3.
     texts = [" ".join(f"w{i}" for i in range(k, 40_000, 40)) for k in range(40)] + ["w39999 w39999 w39998"] + ["the " * 500]
     texts += [" ".join(f"w{i}" for i in range(1000))] * 3
@@ -254,7 +299,7 @@ def test_words_beyond_the_network(spark):
     net = lm_scoring.Window.of(np.frombuffer(model[1], np.float32))
 
     def want(text):
-        ids, at, _ = lm_scoring._numbered([text], numbers)
+        ids, at, _, _ = numbers.numbered([text])
         total = net.log_likelihood(ids[at], lm_scoring._around(ids, at)).sum()
         for w in text.split():
             same = [c for x, c in rest.items() if numbers[x] == numbers[w]]
