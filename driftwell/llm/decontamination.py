@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,64 +16,86 @@ from driftwell.llm.shared import Scratch, utf8
 from driftwell.llm.words import ALNUM, WordHashes, alnum_words, windows
 
 N = 10
-#: Benchmark text that one broadcast may hold. A larger benchmark is cut into parts of this size, each with a
-#: pass of its own over the documents.
-PART_BYTES = 32 << 20
+#: Benchmark text that one broadcast may hold. Its set takes some six times as much: a hash, an item and a place for each
+#: word, and the words. A larger benchmark is cut into parts of this size, each with a pass of its own over the documents.
+PART_BYTES = 16 << 20
 _WORD = re.compile(rb"[^ ]+")
 _FILTER_BITS = 20
 
 
 @dataclass
 class NgramSet:
-    """Windows of the items: hashes in order, where each lies, and the words to verify a hit against."""
+    """Windows of the items as sorted arrays: for each size of window the hashes in order and the word that each starts
+    with; and the words of all items end to end, to verify a hit against."""
 
-    lengths: dict[int, np.ndarray]
-    at: dict[tuple[int, int], list[tuple[int, int]]]
-    words: list[list[bytes]]
+    windows: dict[int, tuple[np.ndarray, np.ndarray]]
+    words: bytes
+    starts: np.ndarray  # of each word in `words`, and the end; words are parted by one blank
+    firsts: np.ndarray  # number of each item's first word
     ids: list[str]
+    maps: dict[int, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes | None]], n: int = N) -> NgramSet:
         """An item of n words or more gives all its windows; a shorter one, but for an empty one, is a window."""
-        hashes, found = WordHashes(), {}
-        words, ids = [], []
+        hashes, found, texts, lengths, firsts, ids = WordHashes(), {}, [], [], [], []
+        at = 0
         for item_id, text in items:
             if not (w := alnum_words(text or b"")):
                 continue
             size = min(n, len(w))
-            for start, h in enumerate(windows(hashes.of(w), size).tolist()):
-                found.setdefault((size, h), []).append((len(words), start))
-            words.append(w)
+            h = windows(hashes.of(w), size)
+            found.setdefault(size, []).append((h, at + np.arange(len(h))))
+            texts.append(b" ".join(w))
+            lengths.append(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+            firsts.append(at)
             ids.append(item_id)
-        lengths = {}
-        for size, h in found:
-            lengths.setdefault(size, []).append(h)
-        return cls({k: np.sort(np.array(v, np.uint64)) for k, v in lengths.items()}, found, words, ids)
-
-    def near(self, h: np.ndarray, size: int) -> np.ndarray:
-        """Positions whose window hash is in the set: a small bitmap first, then a binary search."""
-        known = self.lengths[size]
-        shift, bitmap = np.uint64(64 - _FILTER_BITS), np.zeros(1 << _FILTER_BITS, bool)
-        bitmap[known >> shift] = True
-        maybe = np.flatnonzero(bitmap[h >> shift])
-        place = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-        return maybe[known[place] == h[maybe]]
+            at += len(w)
+        sets = {}
+        for size, parts in found.items():
+            h, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            sets[size] = h[order], place[order].astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths or [np.empty(0, np.int64)]))])
+        return cls(sets, b" ".join(texts), starts.astype(np.uint32), np.array(firsts, np.uint32), ids)
+
+    def n_bytes(self) -> int:
+        return len(self.words) + self.starts.nbytes + sum(h.nbytes + place.nbytes for h, place in self.windows.values())
+
+    def near(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose window hash is in the set, by a small bitmap and then a binary search; and from where to where
+        it lies there."""
+        known, shift = self.windows[size][0], np.uint64(64 - _FILTER_BITS)
+        if size not in self.maps:
+            self.maps[size] = np.zeros(1 << _FILTER_BITS, bool)
+            self.maps[size][known >> shift] = True
+        maybe = np.flatnonzero(self.maps[size][h >> shift])
+        lo = np.searchsorted(known, h[maybe])
+        here = known[np.minimum(lo, len(known) - 1)] == h[maybe]
+        maybe, lo = maybe[here], lo[here]
+        return maybe, lo, np.searchsorted(known, h[maybe], "right")
 
     def hits(self, docs: list[list[bytes]], hashes: WordHashes) -> list[tuple[set[tuple[int, int]], set[int]]]:
         """For each document its hit windows as (start, end) and the items they come from, verified word by word."""
         out = [(set(), set()) for _ in docs]
         flat = hashes.of([w for d in docs for w in d])
         starts = np.cumsum([0, *map(len, docs)])
-        for size in self.lengths:
+        for size, (_, place) in self.windows.items():
             h = windows(flat, size)
-            for p in self.near(h, size).tolist() if len(h) else ():
-                d = int(np.searchsorted(starts, p, "right")) - 1
+            if not len(h):
+                continue
+            at, lo, hi = self.near(h, size)
+            owner = np.searchsorted(starts, at, "right") - 1
+            for p, d, a, b in zip(at.tolist(), owner.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 i = p - int(starts[d])
                 seen = docs[d][i : i + size]
-                for item, start in self.at[size, int(h[p])]:
-                    if seen == self.words[item][start : start + size]:
+                if len(seen) < size:
+                    continue  # it goes on into the next document
+                seen = b" ".join(seen)
+                for w in place[a:b].tolist():
+                    if seen == self.words[self.starts[w] : self.starts[w + size] - 1]:
                         out[d][0].add((i, i + size))
-                        out[d][1].add(item)
+                        out[d][1].add(int(np.searchsorted(self.firsts, w, "right")) - 1)
         return out
 
 
@@ -127,15 +149,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     null item id reads as an empty string. Equal items and equal documents are each reported. The documents'
     own columns stay inside `row`, so no name can clash.
 
-    The hash set is broadcast. The benchmark's bytes are summed first: beyond `part_bytes` the items are dealt into
-    parts, and each part is a pass over the documents, so one broadcast never grows with the benchmark.
+    The hash set is broadcast, as sorted arrays of some six times the text's bytes. The benchmark's bytes are summed
+    first: beyond `part_bytes` the items are dealt into parts, and each part is a pass over the documents, so one
+    broadcast never grows with the benchmark (only with its longest item, which is not cut).
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), utf8(F.col(item_text_col)).alias("utf8"))
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), utf8(F.col(f"`{item_text_col}`")).alias("utf8"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("utf8")), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    cur = docs.select(whole.alias("row"), utf8(F.col(text_col)).alias("utf8"))
+    cur = docs.select(whole.alias("row"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
     schema = T.StructType([*cur.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
     scratch = Scratch(spark, "decontamination")
     for p in range(parts):

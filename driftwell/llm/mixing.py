@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "rows")
+    rows = scratch.keep(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "rows")
     sources = scratch.keep(source_targets(rows, weights, share, epochs), "sources")
     target, count = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0], rows.count()
     words = max(1, min(MOST_WORDS, int(target // SLOTS)))
@@ -107,9 +107,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words take no part in the mix's weights and stay once. Cases as in mix().
     """
     taken = mix(docs, id_col, text_col, source_col, **settings)
-    taken = taken.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "taken")
+    taken = taken.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), F.col("size").alias("_size"), "taken")
     copies = taken.groupBy("_id", "_source", "_size").agg(F.sum("taken").alias("t"), F.sum("_size").alias("s")).withColumn("copies", F.when(F.col("s") == 0, 1).otherwise(F.round(F.col("t") / F.greatest(F.col("s"), F.lit(1)))).cast("int"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(whole.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(whole.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
     same = rows["id"].eqNullSafe(copies["_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["size"] == copies["_size"])
     return rows.join(copies.where("copies > 0"), same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -301,8 +301,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where[full] = np.arange(len(full))
             pick = pa.array(where, mask=where < 0)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), longs(bands(minima)).take(pick), longs(odd_sketches(minima)).take(pick)],
-                ["_id", "n_shingles", "key", "bands", "sketch"],
+                [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), longs(bands(minima)).take(pick), longs(odd_sketches(minima)).take(pick)],
+                ["_id", "_hash", "n_shingles", "key", "bands", "sketch"],
             )
 
 
@@ -328,23 +328,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), *SIGNED])
-    signed = scratch.keep(rows.select("_id", utf8(F.col("_text")).alias("text")).mapInArrow(_signed, schema), "signed")
-
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("sketch").alias("code"))
-    classes = scratch.keep(classes, "classes")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_hash", T.LongType()), *SIGNED])
+    signed = scratch.keep(rows.select("_id", utf8(F.col("_text")).alias("text"), "_hash").mapInArrow(_signed, schema), "signed")
+
+    # One row stands for each class: that of its smallest id, and of the smallest text hash where rows share that id.
+    who = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("who")
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(who, F.first("bands").alias("bands"), F.first("sketch").alias("code"))
+    classes = scratch.keep(classes.select("key", "who._id", "who._hash", "bands", "code"), "classes")
     banded = classes.select(F.explode("bands").alias("bucket"), "key")
     several = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = banded.join(several, "bucket").join(classes.select("key", "code"), "key").select("bucket", F.col("key").alias("node"), "code")
     shared = scratch.keep(shared, "shared")
 
-    # Full sets of one document of each class that shares a bucket, made anew from its text.
-    wanted = classes.join(shared.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("key", "_id")
-    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"])).select("key", utf8(F.col("_text")).alias("text"))
-    sets = texts.mapInArrow(_sets, "key binary, shingles array<long>").where(F.size("shingles") > 0)
-    # An id may stand for several texts; the class key of the set itself decides.
-    sets = scratch.keep(sets.dropDuplicates(["key"]) if id_is_unique(signed) else _true_sets(sets), "sets")
+    # Full sets of one document of each class that shares a bucket, made anew from its text. Rows of one id or of none
+    # differ in their text's hash; rows that agree in both are one row repeated, and one of them is enough.
+    wanted = classes.join(shared.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("key", "_id", "_hash")
+    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_hash"])).select("key", utf8(F.col("_text")).alias("text"))
+    if not id_is_unique(signed):
+        texts = texts.dropDuplicates(["key"])
+    sets = scratch.keep(texts.mapInArrow(_sets, "key binary, shingles array<long>"), "sets")
 
     limit = most_xor_bits(similarity)
     percent = round(similarity * 100)
@@ -375,27 +378,15 @@ def id_is_unique(signed: DataFrame) -> bool:
     return n == 0 and null == 0
 
 
-def _true_sets(sets: DataFrame) -> DataFrame:
-    """Where ids repeat, several texts came for a class: keep the set whose digest is the class key."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            good = [xxhash.xxh3_128_digest(np.asarray(lists[i].values, np.int64).tobytes()) == k for i, k in enumerate(batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return sets.mapInArrow(keyed, sets.schema).dropDuplicates(["key"])
-
-
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents' own columns, one document of each group: that of the smallest id. Cases as in near_duplicates().
 
     Several rows may hold a group's smallest id; of those with one text, one stays, whichever it is.
     """
     groups = near_duplicates(docs, id_col, text_col, similarity)
-    kept = groups.where("kept").select(F.col(id_col).alias("_id"), "class_key").distinct()
+    kept = groups.where("kept").select(F.col(f"`{id_col}`").alias("_id"), "class_key").distinct()
     # The kept rows carry ids alone; a text's class tells rows of one id apart where ids repeat.
-    repeated = kept.groupBy("_id").count().where("count > 1").limit(1).count() or docs.groupBy(id_col).count().where("count > 1").limit(1).count()
+    repeated = kept.groupBy("_id").count().where("count > 1").limit(1).count() or docs.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").limit(1).count()
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
     if not repeated:
         return whole.join(kept, whole["id"].eqNullSafe(kept["_id"]), "left_semi").select("row.*")

@@ -96,3 +96,23 @@ def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(components(Scratch(spark, "t"), edges, "c").collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_many_rows_without_an_id(spark):
+    """Classes that only rows without an id hold, in one bucket: each is found by its text."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(200)]
+    base = [rng.choice(vocabulary) for _ in range(80)]
+    rows = [(5, " ".join(base))]
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(80)] = rng.choice(vocabulary)
+        rows += [(None if i % 4 else 7, " ".join(copy))] * (1 + i % 3)
+    rows += [(None, " ".join(rng.choice(vocabulary) for _ in range(20))) for _ in range(30)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "`doc.id` long, `the.text` string")
+    assert sorted(r["component_id"] for r in N.near_duplicates(df, "doc.id", "the.text").collect()) == [1, 1]
+    assert N.keep_distinct(df, "doc.id", "the.text").count() == 1

@@ -335,3 +335,13 @@ def test_lexicon_counts_all_labelled_rows(spark):
     assert len(score) == len(rows)
     # More words than the 512 entries that were kept before, and each known by itself.
     assert np.mean([score[10_000 + i] > max(score[20_000 + k] for k in range(200)) for i in range(700)]) > 0.95
+
+
+def test_ngram_set_is_bounded():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200_000)).encode()
+    grams = decontamination.NgramSet.of([("x", text), ("y", b"short one"), ("x", text[:600])])
+    assert grams.n_bytes() < 6 * (len(text) + 600)
+    words = text.split()
+    spans, items = grams.hits([words[50:70], [b"a", b"short", b"one"], words[:9]], decontamination.WordHashes())[0]
+    assert spans == {(i, i + 10) for i in range(11)} and {grams.ids[i] for i in items} == {"x"} and items == {0, 2}
