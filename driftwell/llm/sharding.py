@@ -12,8 +12,11 @@ from pyspark.sql.window import Window
 
 from driftwell.llm.shared import Scratch
 
-#: Key samples behind each splitter, and key ranges planned for each shard.
-SAMPLES_PER_RANGE, RANGES_PER_SHARD, ROWS_PER_RANGE = 16, 128, 100_000
+#: Key samples behind each splitter, and key ranges planned for each shard: what the driver holds and broadcasts grows
+#: with the number of shards alone.
+SAMPLES_PER_RANGE, RANGES_PER_SHARD = 16, 128
+#: Rows that are numbered together, on average.
+ROWS_TOGETHER = 100_000
 #: A group of equal texts above 1 / OVERFULL of a shard is cut into SALTS parts; a group or part above 1 / HEAVY is
 #: placed by itself. So at most shards * OVERFULL groups and shards * HEAVY parts can reach the driver.
 OVERFULL, SALTS, HEAVY = 8, 256, 64
@@ -63,7 +66,7 @@ def _in_ranges(spark: SparkSession, rows: DataFrame, cells: list[tuple], extra:
 
 def plan_shards(spark: SparkSession, rows: DataFrame, shards: int) -> ShardPlan:
     """rows: (id, size, key), read a few times."""
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = max(1, total // shards)
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     overfull = [(r[0],) for r in groups.where(F.col("size") * OVERFULL > share).select("key").collect()]
@@ -73,7 +76,7 @@ def plan_shards(spark: SparkSession, rows: DataFrame, shards: int) -> ShardPlan:
     light = units.where(~is_heavy)
 
     # Size-weighted key samples: a unit is drawn with probability size * samples / total, decided by a hash of its key.
-    n_ranges = shards * RANGES_PER_SHARD + count // ROWS_PER_RANGE
+    n_ranges = shards * RANGES_PER_SHARD
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "key", "salt"), 11) / F.lit(float(1 << 53))
     drawn = sorted(r[0] for r in light.where(draw * total < F.col("size") * (n_ranges * SAMPLES_PER_RANGE)).select("key").collect())
     splitters = sorted({drawn[i * len(drawn) // n_ranges] for i in range(1, n_ranges)}) if drawn else []
@@ -131,7 +134,7 @@ def _level(load: list[int], rest: float) -> float:
 def _placed(spark: SparkSession, rows: DataFrame, plan: ShardPlan) -> DataFrame:
     heavy = _small(spark, plan.heavy, "key long, salt int, h_piece int, h_shard int, h_offset long")
     rows = _salted(spark, rows, plan.overfull).join(heavy, ["key", "salt"], "left")
-    rows = _in_ranges(spark, rows, plan.ranges, ", shard int, offset long")
+    rows = _in_ranges(spark, rows, plan.ranges, ", shard int, offset long").withColumn("heavy", F.col("h_piece").isNotNull())
     for c in ("piece", "shard", "offset"):
         rows = rows.withColumn(c, F.coalesce(f"h_{c}", c))
     return rows.drop("h_piece", "h_shard", "h_offset")
@@ -149,9 +152,15 @@ def shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
     rows = scratch.keep(_keyed(docs, id_col, text_col).drop("row"), "rows")
-    placed = _placed(spark, rows, plan_shards(spark, rows, shards))
-    rank = F.row_number().over(Window.partitionBy("piece").orderBy("key", "salt", "id"))
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("offset") + rank - 1).alias("slot"))
+    # A piece's rows are numbered by stretches of their keys, or of their ids' hashes where one key is the whole piece.
+    bits = (rows.count() // ROWS_TOGETHER).bit_length()
+    stretch = F.shiftrightunsigned(F.when(F.col("heavy"), F.xxhash64(F.lit("slot"), "id")).otherwise(F.col("key")), 64 - bits) if bits else F.lit(0).cast("long")
+    placed = _placed(spark, rows, plan_shards(spark, rows, shards)).withColumn("stretch", stretch)
+    counts = placed.groupBy("piece", "stretch").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("piece").orderBy("stretch")) - F.col("n")
+    placed = placed.join(counts.select("piece", "stretch", before.alias("before")), ["piece", "stretch"])
+    rank = F.row_number().over(Window.partitionBy("piece", "stretch").orderBy("key", "salt", "id"))
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("offset") + F.col("before") + rank - 1).alias("slot"))
 
 
 def with_shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:

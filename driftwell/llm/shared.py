@@ -18,13 +18,20 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of our own if all runs in one process, as in
+    tests; on a cluster nobody else would see it, so there the setting is needed."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="driftwell-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="driftwell-")
+    return f"file://{_own_folders[app]}"
+
+
+_own_folders: dict[str, str] = {}
 
 
 class Scratch:
