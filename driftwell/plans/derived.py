@@ -18,8 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share; of our own only where no shared one is set."""
+    """A new folder that all executors share; one of our own only where none is set and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='driftwell-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
