@@ -29,7 +29,8 @@ SLOTS, SPAN = 128, 8
 #: Independent walks whose samples are banded for links, and samples in a band.
 WALKS, BAND = 16, 3
 CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 8192
-PART_BYTES, LEAST_PARTS, MOST_PARTS = 32 << 20, 64, 16_384
+#: Bytes planned for a part, fewest and most parts, and the key samples behind each splitter.
+PART_BYTES, LEAST_PARTS, MOST_PARTS, SAMPLES_PER_PART = 32 << 20, 64, 16_384, 64
 LAST = np.iinfo(np.int64).max
 _STEPS = 4096
 
@@ -175,34 +176,58 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     In the edited text the last floor(n_chars / 2) code points give way to the first as many (or all) of the next
     document in ascending id order; after the last comes the first. Null texts are empty; null ids come last; rows of
-    equal ids are ordered by text. Other columns are ignored, so their names cannot clash. An empty table gives no
-    rows. Each text moves once, to the part of its id range; the first of a part also goes to the part before.
+    equal ids, and those without one, are ordered by text. Other columns are ignored, so their names cannot clash. An
+    empty table gives no rows. Each text moves once, to the part of its id range; the first of a part also goes to the part before.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("utf8")).withColumn("k", F.coalesce("id", F.lit(LAST)))
-    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("utf8")), F.lit(0))).first()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("utf8"))
+    # The first seven bytes as a number keep the order of texts: rows of one id, or of none, may fill several parts.
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.coalesce("utf8", F.lit(b"")), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = rows.select("id", "utf8", F.coalesce("id", F.lit(LAST)).alias("k"), prefix.alias("h"), (F.coalesce(F.octet_length("utf8"), F.lit(0)) + 1).alias("size"))
+    size = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = min(max(size // PART_BYTES, LEAST_PARTS), MOST_PARTS)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("part"), "k"), 11) / F.lit(float(1 << 53))
-    drawn = sorted(r[0] for r in rows.select("k").where(draw * max(count, 1) < parts * 64).collect())
-    splitters = np.array(sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else [], np.int64)
+    # Splitters of equal bytes: a row is drawn with a probability that goes with its size.
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("part"), "k", "h"), 11) / F.lit(float(1 << 53))
+    drawn = sorted((r[0], r[1]) for r in rows.select("k", "h", "size").where(draw * size < F.col("size") * (parts * SAMPLES_PER_PART)).select("k", "h").collect())
+    splitters = np.array(sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else [], np.int64).reshape(-1, 2)
 
     @pandas_udf("int")
-    def home(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splitters, k.to_numpy(), "right").astype(np.int32))
+    def home(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_homes(splitters, k.to_numpy(), h.to_numpy()).astype(np.int32))
 
-    firsts = sorted((r[0], r[1]) for r in rows.select(home("k").alias("part"), "k").groupBy("part").agg(F.min("k")).collect())
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first of all follows the last part
+    firsts = sorted((r["part"], r["first"]["k"], r["first"]["h"]) for r in rows.select(home("k", "h").alias("part"), "k", "h").groupBy("part").agg(F.min(F.struct("k", "h")).alias("first")).collect())
+    heads = np.array([(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)], np.int64).reshape(-1, 3)  # the first of all follows the last part
 
     @pandas_udf("array<int>")
-    def homes(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(splitters, k.to_numpy(), "right")
-        return pd.Series([[int(p), before[x]] if x in before else [int(p)] for p, x in zip(own, k.tolist(), strict=True)])
-
-    dealt = rows.select("id", "k", "utf8", F.posexplode(homes("k")).alias("tail", "part")).withColumn("tail", F.col("tail") > 0)
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", "k", "utf8")
+    def homes(k: pd.Series, h: pd.Series) -> pd.Series:
+        """The part of a row, and that before where the row is the first of its part."""
+        ks, hs = k.to_numpy(), h.to_numpy()
+        own = _homes(splitters, ks, hs)
+        at = np.minimum(np.searchsorted(heads[:, 0], ks), len(heads) - 1)
+        out = own[:, None].tolist()
+        for i in np.flatnonzero(np.isin(ks, heads[:, 0])).tolist():
+            for head in heads[at[i] :]:
+                if head[0] != ks[i]:
+                    break
+                if head[1] == hs[i]:
+                    out[i].append(int(head[2]))
+        return pd.Series(out)
+
+    dealt = rows.select("id", "k", "h", "utf8", F.posexplode(homes("k", "h")).alias("tail", "part")).withColumn("tail", F.col("tail") > 0)
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", "k", "h", "utf8")
     return dealt.select("tail", "id", "utf8").mapInArrow(_compare, COMPARED).withColumnRenamed("id", id_col)
 
 
+def _homes(splitters: np.ndarray, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each (k, h) how many splitters, sorted pairs, are no larger. Only a k that has several splitters needs h."""
+    lo, hi = np.searchsorted(splitters[:, 0], k), np.searchsorted(splitters[:, 0], k, "right")
+    out = lo.copy()
+    for a in np.unique(lo[hi > lo]).tolist():
+        here = (lo == a) & (hi > lo)
+        b = int(hi[here][0])
+        out[here] += np.searchsorted(splitters[a:b, 1], h[here], "right")
+    return out
+
+
 def edit_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_edits: float = 0.1, band: int = BAND, walks: int = WALKS) -> DataFrame:
     """(id, component_id): texts linked where their edit distance is at most `most_edits` of the longer length.
 

@@ -345,3 +345,12 @@ def test_ngram_set_is_bounded():
     words = text.split()
     spans, items = grams.hits([words[50:70], [b"a", b"short", b"one"], words[:9]], decontamination.WordHashes())[0]
     assert spans == {(i, i + 10) for i in range(11)} and {grams.ids[i] for i in items} == {"x"} and items == {0, 2}
+
+
+def test_parts_split_rows_of_one_id():
+    rng = np.random.default_rng(5)
+    rows = np.stack([rng.choice([1, 2, 2, 2, 9], 400), rng.integers(0, 50, 400)], axis=1)
+    splitters = np.array(sorted({(1, 30), (2, 5), (2, 17), (2, 40), (5, 0), (9, 25)}))
+    want = [sum((a, b) <= (k, h) for a, b in splitters.tolist()) for k, h in rows.tolist()]
+    assert fingerprints._homes(splitters, rows[:, 0], rows[:, 1]).tolist() == want
+    assert fingerprints._homes(splitters[:0], rows[:, 0], rows[:, 1]).tolist() == [0] * 400
