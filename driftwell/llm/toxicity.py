@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from driftwell.llm.shared import Scratch, utf8
 
-#: The classifier is fitted to at most about so many labelled rows of either label, drawn by a hash.
+#: The classifier is fitted to at most about so many rows, drawn by a hash, of each of four kinds: labelled 0 or 1, and
+#: without a label but more likely the one or the other.
 SAMPLE_ROWS = 6000
 #: A lexicon entry: the least share of toxic ones among the labelled documents that hold it, either label weighted as
 #: in the sample; and how surprising that must be: toxic documents times the logarithm of their share against the
@@ -102,46 +103,111 @@ def votes(hits: list[dict], words: int, shouts: int, noise: int, entries: int) -
 VOTERS = LEXICON_VOTERS + 4
 
 
+#: What a model says of no label; observations that the starting rates count as; information, in nats, that makes two
+#: voters depend on one another.
+NO_LABEL, START_COUNTS, LEAST_INFORMATION = -1, 20.0, 1e-4
+
+
 @dataclass
 class LabelModel:
-    """Votes given the unseen label: how often each voter fires under either label, the labels' prior, and the weight
-    each voter keeps for its correlation with the others within a label."""
+    """A joint distribution of the unseen label, the votes, and the label that a row may have been given.
+
+    Given the unseen label the voters form a tree: each depends on one other at most, along the maximum spanning tree of
+    their mutual information, so correlated voters do not count twice. The given label is a voter of its own, whose
+    accuracy is estimated like that of the others and which does not vote on most rows.
+    """
 
     prior: float
-    fires: np.ndarray  # [label, voter]
-    weight: np.ndarray
+    parent: np.ndarray  # of each voter, or -1
+    fires: np.ndarray  # [label, vote of the parent, voter]
+    told: np.ndarray  # [label]: how often a given label says 1
 
     @classmethod
-    def fit(cls, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
-        """EM over distinct vote patterns and their counts in the whole corpus. start: firing rates to begin with."""
-        model = cls(prior, start.copy(), np.ones(patterns.shape[1]))
+    def fit(cls, patterns: np.ndarray, given: np.ndarray, counts: np.ndarray, start: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+        """EM over distinct (votes, given label) and their counts in the whole corpus. start: [label, voter] firing rates
+        to begin with. Rows without a label weigh as much as those with one, in all, if they are more: so they refine
+        what the labels say, and do not outvote it."""
+        voters = patterns.shape[1]
+        model = cls(prior, np.full(voters, -1), np.repeat(start[:, None], 2, axis=1), np.array([0.05, 0.95]))
+        free = given == NO_LABEL
+        rest, labelled = counts[free].sum(), counts[~free].sum()
+        counts = np.where(free & (labelled > 0), min(1.0, labelled / max(rest, 1)), 1.0) * counts
         for _ in range(rounds if len(counts) else 0):
-            p = model.posterior(patterns)
+            p = model.posterior(patterns, given)
             w = np.stack([(1 - p) * counts, p * counts])
             mass = w.sum(axis=1)
             model.prior = float(np.clip(mass[1] / mass.sum(), 1e-4, 0.5))
-            # The starting rates count as some observations, so that no voter can change sides.
-            model.fires = (w @ patterns + 20 * start) / (mass[:, None] + 20)
-            model.weight = _independence(patterns, w, model.fires)
+            model.told = (w @ (given == 1) + START_COUNTS * np.array([0.05, 0.95])) / (w @ ~free + START_COUNTS)
+            both = np.stack([(patterns * x[:, None]).T @ patterns for x in w])  # [label, voter, voter]: both fire
+            model.parent = _tree(both, mass)
+            model.fires = _rates(both, mass, model.parent, start)
         return model
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        f = np.clip(self.fires, 1e-4, 1 - 1e-4)
+    def posterior(self, patterns: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Probability of label 1 for each row of votes and given label."""
+        f, voters = np.clip(self.fires, 1e-4, 1 - 1e-4), np.arange(patterns.shape[1])
+        above = np.where(self.parent >= 0, patterns[:, self.parent], 0).astype(int)
         on, off = np.log(f[1] / f[0]), np.log((1 - f[1]) / (1 - f[0]))
-        logit = np.log(self.prior / (1 - self.prior)) + patterns @ (on * self.weight) + (1 - patterns) @ (off * self.weight)
+        logit = np.log(self.prior / (1 - self.prior)) + np.where(patterns > 0, on[above, voters], off[above, voters]).sum(axis=1)
+        t = np.clip(self.told, 1e-4, 1 - 1e-4)
+        logit = logit + np.select([given == 1, given == 0], [np.log(t[1] / t[0]), np.log((1 - t[1]) / (1 - t[0]))], 0.0)
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
-
-def _independence(patterns: np.ndarray, w: np.ndarray, fires: np.ndarray) -> np.ndarray:
-    """1 / (1 + positive correlations with other voters), averaged over the labels' masses."""
-    total = np.zeros((patterns.shape[1],) * 2)
+    def accuracy(self) -> np.ndarray:
+        """How often each voter is right, by the model."""
+        rate = np.where(self.parent >= 0, 0.0, self.fires[:, 0])
+        for v in _down(self.parent):
+            if self.parent[v] >= 0:
+                above = rate[:, self.parent[v]]
+                rate[:, v] = (1 - above) * self.fires[:, 0, v] + above * self.fires[:, 1, v]
+        return self.prior * rate[1] + (1 - self.prior) * (1 - rate[0])
+
+
+def _information(both: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters given the label."""
+    out, total = np.zeros(both.shape[1:]), mass.sum()
+    for n11, m in zip(both, mass, strict=True):
+        n1 = np.diag(n11)
+        for joint, x, y in ((n11, n1, n1), (n1[:, None] - n11, n1, m - n1), (n1[None] - n11, m - n1, n1), (m - n1[:, None] - n1[None] + n11, m - n1, m - n1)):
+            joint, alone = np.maximum(joint, 0), np.maximum(np.outer(x, y), 1e-12)
+            out += np.where(joint > 1e-9, joint * np.log(np.maximum(joint * m, 1e-12) / alone), 0) / total
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _tree(both: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Parents in the maximum spanning tree by mutual information; edges that say nothing are left out."""
+    info = _information(both, mass)
+    parent, best, inside = np.full(len(info), -1), np.full(len(info), -1.0), np.zeros(len(info), bool)
+    for _ in range(len(info)):
+        v = int(np.where(inside, -2.0, best).argmax())
+        inside[v] = True
+        if best[v] < LEAST_INFORMATION:
+            parent[v] = -1
+        nearer = ~inside & (info[v] > best)
+        best[nearer], parent[nearer] = info[v][nearer], v
+    return parent
+
+
+def _down(parent: np.ndarray) -> list[int]:
+    """Voters, each after its parent."""
+    out: list[int] = []
+    while len(out) < len(parent):
+        out += [v for v in range(len(parent)) if v not in out and (parent[v] < 0 or parent[v] in out)]
+    return out
+
+
+def _rates(both: np.ndarray, mass: np.ndarray, parent: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """[label, vote of the parent, voter]: firing rates. The starting rates count as some observations, so that no voter
+    can change sides."""
+    out, voters = np.empty((2, 2, len(parent))), np.arange(len(parent))
     for label in range(2):
-        d = patterns - fires[label]
-        cov = (d * w[label][:, None]).T @ d
-        var = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-        total += np.divide(cov, var, out=np.zeros_like(cov), where=var > 1e-9) / 2
-    np.fill_diagonal(total, 0)
-    return 1 / (1 + np.clip(total, 0, 1).sum(axis=1))
+        n1 = np.diag(both[label])
+        fired = np.where(parent >= 0, n1[parent], 0)
+        together = np.where(parent >= 0, both[label][parent, voters], 0)
+        for vote, (n, k) in enumerate(((mass[label] - fired, n1 - together), (fired, together))):
+            out[label, vote] = (k + START_COUNTS * start[label]) / (n + START_COUNTS)
+    return out
 
 
 def signals(hits: list[dict], words: int, shouts: int, noise: int) -> tuple[float, ...]:
@@ -201,10 +267,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, score): a score from 0 to 1 for every document, learned from `labels` (id, 0 / 1).
 
     Lexicon entries (words and beginnings of words) are those whose labelled documents, all of them counted, are mostly
-    toxic; their number is not bounded. Voters look
-    at all documents; the label model is fitted to the counts of their vote patterns over the whole corpus; the
-    sample's posterior labels, in which a given label counts as one more voter that is right 98 times in 100, train
-    the classifier. Only text enters a score. Null and empty texts get the score of a text without hits. Null ids and
+    toxic; their number is not bounded. Voters look at all documents; the label model is fitted to the counts of their vote patterns, and of given labels as one more
+    voter, over the whole corpus; posterior labels train the classifier, of a sample of labelled and of other rows. Only text enters a score. Null and empty texts get the score of a text without hits. Null ids and
     labels are not learned from; an id labelled twice counts by its mean label. With no labels of either kind every
     score is 0. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
     """
@@ -217,9 +281,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if len(n) < 2:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("toxic"), "id"), 11) / F.lit(float(1 << 53))
-    sample = known.where(draw < F.when(F.col("toxic"), min(1.0, sample_rows / n[True])).otherwise(min(1.0, sample_rows / n[False])))
-    # At most about twice sample_rows ids: the rate above bounds this broadcast.
-    sample = F.broadcast(scratch.keep(sample, "sample"))
     counted = _perhaps_known(rows, known).join(known, "id").select("toxic", "text").mapInArrow(_count_entries, "entry string, toxic long, clean long")
     counted = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     base = min(sample_rows, n[True]) / (min(sample_rows, n[True]) + min(sample_rows, n[False]))
@@ -234,16 +295,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     found = scratch.keep(found, "found")
 
     size = len(lexicon)
-    voted = found.mapInArrow(_vote(size), "votes string").groupBy("votes").count().collect()  # at most 2 ** VOTERS rows
-    patterns = np.array([[int(v) for v in r["votes"]] for r in voted], float).reshape(-1, VOTERS)
-    seen = found.join(sample, "id").select("hits", "words", "shouts", "noise", "toxic").collect()
-    taught = np.array([votes(r["hits"], r["words"], r["shouts"], r["noise"], size) for r in seen], float).reshape(-1, VOTERS)
-    truth = np.array([r["toxic"] for r in seen], bool)
-    start = np.stack([(taught[truth == k].sum(axis=0) + 0.5) / ((truth == k).sum() + 1) for k in (False, True)])
-    model = LabelModel.fit(patterns, np.array([r["count"] for r in voted], float), start, n[True] / (n[True] + n[False]))
-    p = np.clip(model.posterior(taught), 1e-6, 1 - 1e-6)
-    told = np.where(truth, 0.98 / 0.02, 0.02 / 0.98) * p / (1 - p)
-    weights = fit_linear(Features.of(seen), told / (1 + told), size)
+    # At most 3 * 2 ** VOTERS rows: what the voters say of a document, and the label it was given.
+    voted = scratch.keep(found.mapInArrow(_vote(size), T.StructType([*schema.fields, T.StructField("votes", T.StringType())])).join(known, "id", "left").withColumn("given", F.coalesce(F.col("toxic").cast("int"), F.lit(NO_LABEL))), "voted")
+    seen = voted.groupBy("votes", "given").count().orderBy("votes", "given").collect()
+    patterns, given = _patterns([r["votes"] for r in seen]), np.array([r["given"] for r in seen])
+    counts = np.array([r["count"] for r in seen], float)
+    start = np.stack([((patterns[given == k] * counts[given == k, None]).sum(axis=0) + 0.5) / (counts[given == k].sum() + 1) for k in (0, 1)])
+    model = LabelModel.fit(patterns, given, counts, start, n[True] / (n[True] + n[False]))
+
+    # The classifier learns the posteriors of labelled rows and of others, about sample_rows of either side of each.
+    p = model.posterior(patterns, given)
+    kinds = [(r["votes"], r["given"], float(q), (r["given"] if r["given"] != NO_LABEL else 2 + (q > 0.5))) for r, q in zip(seen, p, strict=True)]
+    sizes = Counter()
+    for (*_, side), c in zip(kinds, counts, strict=True):
+        sizes[side] += c
+    rated = [(v, g, q, min(1.0, sample_rows / float(sizes[side]))) for v, g, q, side in kinds]
+    rated = F.broadcast(spark.createDataFrame(rated, "votes string, given int, p double, rate double"))
+    taught = voted.join(rated, ["votes", "given"]).where(draw < F.col("rate")).select("hits", "words", "shouts", "noise", "p").collect()
+    weights = fit_linear(Features.of(taught), np.array([r["p"] for r in taught]), size)
 
     shared = spark.sparkContext.broadcast(weights)
 
@@ -261,6 +330,11 @@ def _vote(size: int):
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.select(["hits", "words", "shouts", "noise"]).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, votes(r["hits"], r["words"], r["shouts"], r["noise"], size))) for r in rows], pa.string())], ["votes"])
+            said = pa.array(["".join(map(str, votes(r["hits"], r["words"], r["shouts"], r["noise"], size))) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, said], [*batch.schema.names, "votes"])
 
     return vote
+
+
+def _patterns(said: list[str]) -> np.ndarray:
+    return np.array([[int(v) for v in x] for x in said], float).reshape(-1, VOTERS)

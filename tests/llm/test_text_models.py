@@ -184,17 +184,52 @@ def test_toxicity_learns_words_and_stems(spark):
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
 
 
+def distinct_votes(votes, given):
+    rows, counts = np.unique(np.column_stack([votes, given]), axis=0, return_counts=True)
+    return rows[:, :-1], rows[:, -1].astype(int), counts.astype(float)
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
+    n = 20_000
+    y = rng.random(n) < 0.2
     right = [0.95, 0.9, 0.8, 0.55]
-    votes = np.stack([np.where(rng.random(4000) < r, y, ~y) for r in right], axis=1).astype(float)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    votes = np.stack([np.where(rng.random(n) < r, y, ~y) for r in right], axis=1).astype(float)
+    told = np.where(rng.random(n) < 0.97, y, ~y)
+    given = np.where(rng.random(n) < 0.1, told, toxicity.NO_LABEL)
     start = np.tile(np.array([[0.2], [0.7]]), (1, 4))
-    model = toxicity.LabelModel.fit(patterns, counts.astype(float), start, 0.3)
-    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
-    twice = toxicity.LabelModel.fit(*(lambda p, c: (p, c.astype(float)))(*np.unique(np.hstack([votes, votes[:, :1]]), axis=0, return_counts=True)), np.tile(np.array([[0.2], [0.7]]), (1, 5)), 0.3)
-    assert twice.weight[0] < model.weight[0]  # a voter that is there twice counts less each time
+    model = toxicity.LabelModel.fit(*distinct_votes(votes, given), start, 0.3)
+    free = np.full(n, toxicity.NO_LABEL)
+    assert ((model.posterior(votes, free) > 0.5) == y).mean() > 0.93
+    assert model.accuracy() == pytest.approx(right, abs=0.03)
+    assert model.told == pytest.approx([0.03, 0.97], abs=0.03)
+    # Two copies of a voter hang together and count once.
+    copied = np.hstack([votes, votes[:, 3:], votes[:, 3:]])
+    twice = toxicity.LabelModel.fit(*distinct_votes(copied, given), np.tile(np.array([[0.2], [0.7]]), (1, 6)), 0.3)
+    assert sum(twice.parent[v] in (3, 4, 5) for v in (3, 4, 5)) == 2
+    assert ((twice.posterior(copied, free) > 0.5) == (model.posterior(votes, free) > 0.5)).mean() > 0.99
+
+
+def test_posterior_against_all_labels():
+    """The joint probability of votes and given label, written out."""
+    rng = np.random.default_rng(1)
+    votes = (rng.random((300, 4)) < 0.4).astype(float)
+    votes[:, 2] = np.where(rng.random(300) < 0.9, votes[:, 1], votes[:, 2])
+    given = rng.choice([toxicity.NO_LABEL, 0, 1], 300)
+    model = toxicity.LabelModel.fit(*distinct_votes(votes, given), np.tile(np.array([[0.2], [0.6]]), (1, 4)), 0.3, rounds=4)
+    assert model.parent[2] == 1 or model.parent[1] == 2
+    for v, g, p in zip(votes, given, model.posterior(votes, given), strict=True):
+        joint = []
+        for label, prior in enumerate((1 - model.prior, model.prior)):
+            q = prior
+            for i, x in enumerate(v):
+                above = int(v[model.parent[i]]) if model.parent[i] >= 0 else 0
+                fire = model.fires[label, above, i]
+                q *= fire if x else 1 - fire
+            if g != toxicity.NO_LABEL:
+                q *= model.told[label] if g else 1 - model.told[label]
+            joint.append(q)
+        assert p == pytest.approx(joint[1] / sum(joint), rel=1e-6)
 
 
 # LM scoring
