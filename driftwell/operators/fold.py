@@ -106,8 +106,9 @@ def follow_moves(log: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*(F.when(F.col(c).isNotNull(), F.coalesce(F.col(source[c]), F.col(c))).alias(c) if c in source else F.col(c) for c in log.columns))
 
 
-def materialise(log: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
-    """A batch of the log as final operations on the table: one row for each key, complete.
+def materialise(log: DataFrame, live: DataFrame, key: list[str], located: list[str] = ()) -> DataFrame:
+    """A batch of the log as final operations on the table: one row for each key, complete. With columns to locate rows
+    by, `_was` has their values in the live row that an operation hides, or NULL where that is not known.
 
     The live rows are read once, and only those of the batch's keys: the semi join comes before all else that is done
     with them. A truncate, and only that, needs the keys of all live rows. Whether the log has truncates or moved keys
@@ -141,7 +142,11 @@ def materialise(log: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
         return F.when(F.array_contains("_missing", c), F.when(unknown, stop).otherwise(F.col(f"_live.{c}"))).otherwise(F.col(c)).alias(c)
 
     op = F.when((F.col("_op") == "I") & F.col("_live").isNotNull(), "U").otherwise(F.col("_op")).alias("_op")
-    return joined.select(op, *key, *map(filled, columns))
+    here = F.col("_live").isNotNull()
+    for o in old:  # the row found under a moved key's old name is not the one that the new name hides
+        here = here & F.col(o).isNull()
+    was = F.when(here, F.struct(*(F.col(f"_live_{c}" if c in key else f"_live.{c}").alias(c) for c in located))).alias("_was")
+    return joined.select(op, *key, *map(filled, columns), *[was] * bool(located))
 
 
 def cycle_stats(log: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,8 +143,8 @@ class Table:
     def _transforms(self) -> list[partition.Transform]:
         return [partition.parse(p) for p in self.schema().partitions]
 
-    def _write(self, rows: DataFrame, folder: str, partitioned: bool) -> list[dict]:
-        """Write rows under a folder of its own; the files made, with their sizes."""
+    def _write(self, rows: DataFrame, folder: str, partitioned: bool, columns: list[str] | None = None) -> list[dict]:
+        """Write rows, or some columns of them, under a folder of its own; the files made, with their sizes."""
         where = f"{folder}/{uuid.uuid4().hex}"
         writer = rows.write
         if partitioned and (parts := self._transforms()):
@@ -152,7 +153,7 @@ class Table:
             for t, name in zip(parts, names, strict=True):
                 rows = rows.withColumn(name, partition.apply(t, F.col(t.column), kinds[t.column]))
             # One task for each partition value, split further by size at run time.
-            writer = rows.hint("rebalance", *names).write.partitionBy(*names)
+            writer = rows.select(*(columns or rows.columns), *names * bool(columns)).hint("rebalance", *names).write.partitionBy(*names)
         writer.option("compression", "zstd").parquet(f"{self.path}/{where}")
         return [{"path": name, "bytes": size} for name, size, _ in self.files.list(where, ".parquet")]
 
@@ -172,7 +173,7 @@ class Table:
             stamp = F.lit(number).cast("long").alias(SNAPSHOT)
             rows = not_null(conform(changes.where("_op IN ('I', 'U')"), schema), schema)
             data = self._write(rows.select("*", stamp), "data", True)
-            deletes = self._write(changes.where("_op IN ('U', 'D')").select(*schema.key, stamp), "deletes", False)
+            deletes = self._write_deletes(changes.where("_op IN ('U', 'D')").withColumn(SNAPSHOT, stamp), [*schema.key, SNAPSHOT])
         finally:
             changes.unpersist()
         files = self._with_rows([*data, *deletes])
@@ -181,6 +182,24 @@ class Table:
             return history[-1]["snapshot"]
         return self._commit(number, now_ms, {"kind": "append", "data": data, "deletes": deletes, "batch": batch})
 
+    def _write_deletes(self, rows: DataFrame, columns: list[str]) -> list[dict]:
+        """Deletes lie in the partition of the row that they hide, where that is known, so that a read that passes over
+        its data passes over them too; the others lie outside all partitions and are always read."""
+        if "_was" not in rows.columns or not self._transforms():
+            return self._write(rows.select(*columns), "deletes", False)
+        known = rows.where("_was IS NOT NULL")
+        sources = [F.col(f"_was.{c}").alias(c) for c in self.partition_sources() if c not in columns]
+        inside = self._write(known.select(*columns, *sources), "deletes", True, columns)
+        return inside + self._write(rows.where("_was IS NULL").select(*columns), "deletes", False)
+
+    def partition_sources(self) -> list[str]:
+        """The columns that partitions are made of."""
+        return list(dict.fromkeys(t.column for t in self._transforms()))
+
+    def data_files(self) -> DataFrame:
+        """(path, bytes, rows) of the live data files."""
+        return self.spark.createDataFrame([(f["path"], f["bytes"], f["rows"]) for f in self.live_files("data")], "path string, bytes long, rows long")
+
     @staticmethod
     def _applied(history: list[dict], batch: int) -> bool:
         """Whether a batch was committed before. Of expired snapshots the highest number is known: batches are numbered
@@ -191,11 +210,10 @@ class Table:
         """Row counts from the files; those without rows are deleted."""
         if not files:
             return files
-        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         # Without columns to read, the counts come from the files' footers.
-        counts = dict(self.spark.read.schema("_none int").parquet(*(f"{self.path}/{f['path']}" for f in files)).groupBy(name.alias("f")).count().collect())
+        counts = dict(self.spark.read.schema("_none int").parquet(*(f"{self.path}/{f['path']}" for f in files)).groupBy(_relative().alias("f")).count().collect())
         for f in files:
-            f["rows"] = counts.get(f["path"].rsplit("/", 1)[-1], 0)
+            f["rows"] = counts.get(f["path"], 0)
             if not f["rows"]:
                 self.files.delete(f["path"])
         return [f for f in files if f["rows"]]
@@ -207,7 +225,7 @@ class Table:
             out = self.spark.createDataFrame([], struct)
             return out.withColumn("_file", F.lit(None).cast("string")) if with_file else out
         rows = self.spark.read.schema(struct).parquet(*(f"{self.path}/{f['path']}" for f in files))
-        return rows.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)) if with_file else rows
+        return rows.withColumn("_file", _relative()) if with_file else rows
 
     def _deleted(self, files: list[dict], schema: TableSchema) -> DataFrame:
         """(key, _deleted): the last snapshot that hides each key."""
@@ -223,7 +241,7 @@ class Table:
         data, deletes = self.live_files("data", snapshot), self.live_files("deletes", snapshot)
         kinds = {c.name: c.type for c in schema.columns}
         if where:
-            data = self._pruned(data, where, kinds)
+            data, deletes = self._pruned(data, where, kinds), self._pruned(deletes, where, kinds)
         rows = self._data(data, schema)
         for c, (low, high) in (where or {}).items():
             rows = rows.where(F.col(c).between(F.lit(low).cast(kinds[c]), F.lit(high).cast(kinds[c])))
@@ -239,14 +257,16 @@ class Table:
                 continue
             low, high = where[t.column]
             condition = partition.prune(t, low, high, kinds[t.column])
-            if condition is None or t.kind == "identity" and kinds[t.column].typeName() == "string":
+            if condition is None:
                 continue
             kind = self.spark.range(1).select(partition.apply(t, F.lit(low).cast(kinds[t.column]), kinds[t.column]).alias("x")).schema["x"].dataType
-            values = sorted({f["path"].split(f"_p_{t.name}=")[1].split("/")[0] for f in files if f"_p_{t.name}=" in f["path"]} - {partition.NULL_SEGMENT})
-            if kind.typeName() in ("string", "binary"):
+            if kind.typeName() == "binary":
                 continue
-            rows = self.spark.createDataFrame([(v,) for v in values], "raw string").select("raw", F.col("raw").cast(kind).alias(t.name))
+            values = sorted({f["path"].split(f"_p_{t.name}=")[1].split("/")[0] for f in files if f"_p_{t.name}=" in f["path"]} - {partition.NULL_SEGMENT})
+            rows = self.spark.createDataFrame([(v, unquote(v)) for v in values], "raw string, value string").select("raw", F.col("value").cast(kind).alias(t.name))
             keep = {r["raw"] for r in rows.where(condition).collect()}
+            if kind.typeName() == "string":
+                keep.add(partition.NULL_SEGMENT)  # empty texts lie with NULLs
             files = [f for f in files if f"_p_{t.name}=" not in f["path"] or f["path"].split(f"_p_{t.name}=")[1].split("/")[0] in keep]
         return files
 
@@ -265,7 +285,7 @@ class Table:
             rows = self._data(data, schema, with_file=True).select(*schema.key, SNAPSHOT, "_file")
             dead = rows.join(hidden, schema.key).where(f"_deleted > {SNAPSHOT}").select("_file").distinct()
             touched = {r[0] for r in dead.collect()}
-        chosen = [f for f in data if f["bytes"] < target_bytes // 2 or f["path"].rsplit("/", 1)[-1] in touched]
+        chosen = [f for f in data if f["bytes"] < target_bytes // 2 or f["path"] in touched]
         if not chosen and not deletes:
             return None
         rows = self._data(chosen, schema)
@@ -322,6 +342,12 @@ class Table:
         return {"expired": expired, "deleted": deleted, "bytes_freed": freed, "protected": protected}
 
 
+def _relative() -> Column:
+    """A file's path below its table, as the manifest has it; files of one write share names across partitions."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, "((?:data|deletes)/[0-9a-f]{32}/.+)$", 1)
+
+
 def hidden_partition(expr: str, frame: DataFrame) -> Column:
     t = partition.parse(expr)
     return partition.apply(t, F.col(t.column), frame.schema[t.column].dataType)

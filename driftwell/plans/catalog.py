@@ -254,6 +254,25 @@ def pruned_read(spark: SparkSession, d: str) -> DataFrame:
     return table.read(where={"o_orderdate": ("1995-03-01 00:00:00", "1995-03-31 00:00:00")}).select("o_orderkey", "o_orderdate")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus BETWEEN 'F' AND 'G' AND o_orderkey % 2 = 1")
+def pruned_deletes(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions by a text; half the rows move to another partition, and a read of the first passes over the others' files."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    table = Table.create(spark, workspace(spark, "pruned"), TableSchema.of(orders.schema, KEY, ("o_orderstatus",)))
+    row = lambda part, op, status, seq: part.select(F.lit(op).alias("_op"), F.lit(seq).cast("long").alias("_seq"), "o_orderkey", status.alias("o_orderstatus"))
+    apply_batch(table, row(orders, "I", F.col("o_orderstatus"), 0), 0, compact=False)
+    apply_batch(table, row(orders.where("o_orderkey % 2 = 0"), "U", F.lit("a/b=c"), 1), 1, compact=False)
+    return table.read(where={"o_orderstatus": ("F", "G")})
+
+
+@query("SELECT CAST(year(o_orderdate) - 1970 AS VARCHAR) AS y, count(*) AS rows FROM orders GROUP BY ALL")
+def partition_of_file_path(spark: SparkSession, d: str) -> DataFrame:
+    """A regular expression on the paths of a table's files."""
+    table = Table.create(spark, workspace(spark, "paths"), TableSchema.of(load(spark, d, "orders").schema, KEY, ("year(o_orderdate)",)))
+    table.commit(load(spark, d, "orders").withColumn("_op", F.lit("I")))
+    return table.data_files().groupBy(F.regexp_extract("path", "_p_o_orderdate_year=([^/]+)", 1).alias("y")).agg(F.sum("rows").alias("rows"))
+
+
 # Partition transforms
 
 

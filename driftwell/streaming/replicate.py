@@ -32,7 +32,7 @@ def apply_batch(table: Table, log: DataFrame, batch: int, now_ms: int = 0, compa
     for attempt in range(RETRIES + 1):
         schema: TableSchema = table.schema()
         try:
-            out = table.commit(materialise(log, table.read(), schema.key), now_ms, batch)
+            out = table.commit(materialise(log, table.read(), schema.key, table.partition_sources()), now_ms, batch)
             break
         except FileExistsError:
             if attempt == RETRIES:

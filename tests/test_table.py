@@ -284,3 +284,18 @@ def test_maintenance_is_recorded(spark):
     assert cycle.maintain(9_000, 0, 0)["expired"] == 2
     rows = {r.operation: r.items_affected for r in spark.read.parquet(controls.path("maintenance")).collect()}
     assert rows == {"expire_snapshots": 2, "clean_orphans": None}
+
+
+def test_deletes_lie_with_the_rows_they_hide(spark):
+    table = new(spark, "a")
+    apply_batch(table, spark.createDataFrame([("I", k, [], k, a, 1) for k, a in ((1, "x/1"), (2, "y"), (3, ""), (4, None))], LOG), 0, compact=False)
+    apply_batch(table, spark.createDataFrame([("U", 5, ["n"], 1, "y", None), ("D", 6, [], 2, None, None), ("D", 7, [], 9, None, None), ("U", 8, [], 3, "", 7)], LOG), 1, compact=False)
+    where = {f["path"].split("/")[2] for f in table.live_files("deletes")}
+    assert {p for p in where if p.startswith("_p_")} == {"_p_a=x%2F1", "_p_a=y", "_p_a=__HIVE_DEFAULT_PARTITION__"} and len(where) == 4
+    kinds = {c.name: c.type for c in table.schema().columns}
+    assert not any("_p_a=y" in f["path"] for f in table._pruned(table.live_files("deletes"), {"a": ("w", "x/2")}, kinds))
+    assert state_of(table) == {1: ("y", 1), 3: ("", 7), 4: (None, 1)}
+    assert state_of(table, where={"a": ("w", "x/2")}) == {} and state_of(table, where={"a": ("y", "y")}) == {1: ("y", 1)}
+    assert state_of(table, where={"a": ("", "b")}) == {3: ("", 7)}
+    table.compact(force=True)
+    assert state_of(table) == {1: ("y", 1), 3: ("", 7), 4: (None, 1)}
