@@ -99,5 +99,6 @@ def linked_components(scratch: Scratch, shared: DataFrame, quick: Callable[[Colu
         x, y = at.alias("x"), at.alias("y")
         cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & quick(F.col("x.code"), F.col("y.code")))
         add(cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")), "-cross")
-    scratch.drop(*(f"{name}-split{i}" for i in range(1, rounds + 1)))
+    last = f"{name}-labels-last" if finish else f"{name}-labels-cross"
+    scratch.drop(*(n for n in scratch.names if n.startswith(f"{name}-") and n != last))
     return labels

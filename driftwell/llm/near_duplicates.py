@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwell.llm.linking import linked_components
-from driftwell.llm.shared import Scratch, utf8
+from driftwell.llm.shared import Scratch, forget, utf8
 from driftwell.llm.words import C1, WordHashes, longs, mix, space_words, windows
 
 WORDS, SIMILARITY = 5, 0.75
@@ -336,18 +336,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     who = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash")).alias("who")
     classes = signed.where("n_shingles > 0").groupBy("key").agg(who, F.first("bands").alias("bands"), F.first("sketch").alias("code"))
     classes = scratch.keep(classes.select("key", "who._id", "who._hash", "bands", "code"), "classes")
+    rest = scratch.keep(signed.select("_id", "n_shingles", "key"), "rest")
+    scratch.drop("signed")
+    forget(spark)
     banded = classes.select(F.explode("bands").alias("bucket"), "key")
     several = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = banded.join(several, "bucket").join(classes.select("key", "code"), "key").select("bucket", F.col("key").alias("node"), "code")
     shared = scratch.keep(shared, "shared")
+    forget(spark)
 
     # Full sets of one document of each class that shares a bucket, made anew from its text. Rows of one id or of none
     # differ in their text's hash; rows that agree in both are one row repeated, and one of them is enough.
     wanted = classes.join(shared.select(F.col("node").alias("key")).distinct(), "key", "left_semi").select("key", "_id", "_hash")
     texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_hash"])).select("key", utf8(F.col("_text")).alias("text"))
-    if not id_is_unique(signed):
+    if not id_is_unique(rest):
         texts = texts.dropDuplicates(["key"])
     sets = scratch.keep(texts.mapInArrow(_sets, "key binary, shingles array<long>"), "sets")
+    forget(spark)
 
     limit = most_xor_bits(similarity)
     percent = round(similarity * 100)
@@ -366,8 +371,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked_components(scratch, shared, quick, confirm, "near", Forest(limit), Rest(limit, percent, classes, sets))
     least = classes.select("key", "_id").join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = least.groupBy("component").agg(F.min("_id").alias("component_id"))
-    named = least.join(smallest, "component").select("key", "component_id")
-    out = signed.select("_id", "n_shingles", "key").join(named, "key", "left")
+    named = scratch.keep(least.join(smallest, "component").select("key", "component_id"), "named")
+    scratch.drop_all_but("rest", "named")
+    forget(spark)
+    out = rest.join(named, "key", "left")
     alone = F.col("key").isNull()
     component = F.when(alone, F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), (alone | F.col("_id").eqNullSafe(component)).alias("kept"), F.col("key").alias("class_key"))
