@@ -28,6 +28,11 @@ LENGTH, GRAM = 50, 24
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 8 << 20, 64
+#: A gram that more blocks hold is dealt by more bytes: contexts go by the first FAR bytes from the anchor, and once more
+#: by the NEAR bytes before it and the gram. LENGTH bytes around the anchor have FAR after its start or NEAR before it, so
+#: all that share them meet in one of the two.
+HOT_BLOCKS, FAR = 4096, 37
+NEAR = LENGTH - FAR + 1
 NO_ID = np.iinfo(np.int64).max
 _SLICE_BITS = 20
 
@@ -121,14 +126,23 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def _grouped(ctx: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal contexts together: (order, where groups start in it, group of each place in it)."""
-    wide = np.zeros((len(ctx), WIDTH + 4), np.uint8)
-    wide[:, :WIDTH], wide[:, WIDTH], wide[:, WIDTH + 1] = ctx, left, right
+def _row_hashes(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each row of bytes, and the rows as 64-bit words."""
+    width = sum(c.shape[1] for c in columns)
+    wide, at = np.zeros((len(columns[0]), -(-width // 8) * 8), np.uint8), 0
+    for c in columns:
+        wide[:, at : at + c.shape[1]] = c
+        at += c.shape[1]
     words = wide.view("<u8")
-    h = np.zeros(len(ctx), np.uint64)
+    h = np.zeros(len(wide), np.uint64)
     for i in range(words.shape[1]):
         h = ((h ^ (h >> np.uint64(32))) + words[:, i]) * C2
+    return h, words
+
+
+def _grouped(ctx: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal contexts together: (order, where groups start in it, group of each place in it)."""
+    h, words = _row_hashes(ctx, left[:, None], right[:, None])
     order = np.argsort(h, kind="stable")
     new = np.ones(len(ctx), bool)
     new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
@@ -193,18 +207,26 @@ def _distinct(block: Block, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray,
     return grams, np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
 
 
-def _find_shared(group: pa.Table) -> pa.Table:
-    """Of the grams that blocks sent to a bucket, the ones in several documents: as bits in the order sent."""
-    sent = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
-    bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)).astype(bool) for x, s in zip(group.column("several").to_pylist(), sent, strict=True)]
-    grams, where, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    shared = count > 1
-    shared |= np.bincount(where, np.concatenate(bits), len(grams)) > 0
-    answers, at = [], 0
-    for s in sent:
-        answers.append(np.packbits(shared[where[at : at + len(s)]]).tobytes())
-        at += len(s)
-    return pa.table([group.column("block"), group.column("bucket"), pa.array(answers, pa.binary()), pa.array(list(map(len, sent)), pa.int32())], names=["block", "bucket", "shared", "n"])
+def _find_shared(hot_blocks: int):
+    """Of the grams that blocks sent to a bucket, the ones in several documents, and the hot ones: as bits in the order
+    sent."""
+
+    def find(group: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
+        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)).astype(bool) for x, s in zip(group.column("several").to_pylist(), sent, strict=True)]
+        grams, where, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        shared = count > 1
+        shared |= np.bincount(where, np.concatenate(bits), len(grams)) > 0
+        hot = shared & (count > hot_blocks)
+        answers, at = [], 0
+        for s in sent:
+            mine = where[at : at + len(s)]
+            answers.append((np.packbits(shared[mine]).tobytes(), np.packbits(hot[mine]).tobytes()))
+            at += len(s)
+        columns = [pa.array(x, pa.binary()) for x in zip(*answers, strict=True)]
+        return pa.table([group.column("block"), group.column("bucket"), *columns, pa.array(list(map(len, sent)), pa.int32())], names=["block", "bucket", "shared", "hot", "n"])
+
+    return find
 
 
 def _send_contexts(bits: int):
@@ -214,8 +236,9 @@ def _send_contexts(bits: int):
                 block = _open(r["ids"], r["lengths"], r["data"])
                 pos, h = block.anchors()
                 answers = sorted(r["answers"], key=lambda a: a["bucket"])
-                shared = np.concatenate([np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=a["n"]).astype(bool) for a in answers] or [np.empty(0, bool)])
-                grams = np.unique(h)[shared]
+                shared, hot = (np.concatenate([np.unpackbits(np.frombuffer(a[c], np.uint8), count=a["n"]).astype(bool) for a in answers] or [np.empty(0, bool)]) for c in ("shared", "hot"))
+                grams = np.unique(h)
+                grams, hot = grams[shared], grams[hot]
                 pick = np.isin(h, grams)
                 pos, h = pos[pick], h[pick]
                 if not len(pos):
@@ -228,6 +251,11 @@ def _send_contexts(bits: int):
                 at = np.argsort(rep)  # neighbours in the text have like ids and positions, which pack well
                 rep, low, high = rep[at], low[at], high[at]
                 bucket = _buckets(h[rep], bits)
+                if len(hot) and (is_hot := np.isin(h[rep], hot)).any():
+                    around = ctx[rep[is_hot]]
+                    after, before = (_buckets(mix(_row_hashes(around[:, part])[0]), bits) for part in (slice(LEFT, LEFT + FAR), slice(LEFT - NEAR, LEFT + GRAM)))
+                    rep, low, high = (np.concatenate([x[~is_hot], x[is_hot], x[is_hot]]) for x in (rep, low, high))
+                    bucket = np.concatenate([bucket[~is_hot], after, before])
                 by = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[by], np.arange((1 << bits) + 1))
                 rows = [(b, by[lo:hi]) for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
@@ -405,13 +433,13 @@ def _covered(block: Block, answers: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(covered)[:-1] > 0
 
 
-def _shared_grams(scratch: Scratch, blocks: DataFrame, bits: int) -> DataFrame:
+def _shared_grams(scratch: Scratch, blocks: DataFrame, bits: int, hot_blocks: int) -> DataFrame:
     sent = blocks.mapInArrow(_send_grams(bits), "bucket int, block long, grams binary, several binary")
-    return scratch.keep(sent.groupBy("bucket").applyInArrow(_find_shared, "block long, bucket int, shared binary, n int"), "shared")
+    return scratch.keep(sent.groupBy("bucket").applyInArrow(_find_shared(hot_blocks), "block long, bucket int, shared binary, hot binary, n int"), "shared")
 
 
 def _found_repeats(scratch: Scratch, blocks: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "n")).alias("answers"))
+    answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "shared", "hot", "n")).alias("answers"))
     contexts = blocks.join(answers, "block").mapInArrow(_send_contexts(bits), "bucket int, block long, n int, contexts binary")
     return scratch.keep(contexts.groupBy("bucket").applyInArrow(_scan_bucket, "block long, n int, repeats binary"), "found")
 
@@ -419,7 +447,7 @@ def _found_repeats(scratch: Scratch, blocks: DataFrame, shared: DataFrame, bits:
 SPANS = "array<struct<start: long, end: long>>"
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(id, n_bytes, spans, kept): the byte spans of each document that repeat one of a smaller id, and the other bytes.
 
     A byte is in a span if a LENGTH-byte string that covers it also starts in a document with a smaller id. Strings are
@@ -434,7 +462,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.coalesce(F.sum(F.octet_length("utf8")), F.lit(0))).first()[0]
     bits = max(LEAST_BUCKETS, size // BUCKET_BYTES).bit_length()
 
-    shared = _shared_grams(scratch, blocks, bits)
+    shared = _shared_grams(scratch, blocks, bits, hot_blocks)
     forget(docs.sparkSession)
     found = _found_repeats(scratch, blocks, shared, bits)
     scratch.drop("shared")

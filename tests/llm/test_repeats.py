@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from driftwell.llm import repeats as R
 
@@ -24,19 +25,32 @@ def brute(docs):
     return sorted(out, key=repr)
 
 
-def run(spark, docs):
+def run(spark, docs, **settings):
     df = spark.createDataFrame([(i, None if t is None else t.decode(), 1) for i, t in docs], "doc_id long, text string, block int").repartition(4)
-    rows = R.repeated_spans(df).collect()
+    rows = R.repeated_spans(df, **settings).collect()
     return sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows), key=repr)
 
 
-def test_against_all_windows(spark):
+@pytest.mark.parametrize("hot_blocks", [R.HOT_BLOCKS, 0])
+def test_against_all_windows(spark, hot_blocks):
+    """With 0, every gram in several blocks counts as hot."""
     rng = random.Random(3)
     pool = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(20, 140))) for _ in range(12)]
     docs = [(rng.randint(0, 40), b"".join(rng.choice(pool) + bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6)))) for _ in range(60)]
     docs += [(None, pool[0] * 2), (7, None), (99, b""), (100, b"a" * 300), (101, b"a" * 2000), (3, "é".encode() * 60), (4, b"x" + "é".encode() * 60), (0, bytes(rng.choice(b"abcdefgh") for _ in range(30_000)))]
     docs.append((102, docs[-1][1][5000:25_000]))
-    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs, hot_blocks=hot_blocks) == brute(docs)
+
+
+def test_one_passage_in_many_surroundings(spark):
+    """Its gram is hot; the passage is shared to different lengths on either side."""
+    rng = random.Random(9)
+    noise = lambda n: bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(n))
+    passage = noise(90)
+    docs = [(i, noise(rng.randint(0, 60)) + passage[rng.randint(0, 35) : rng.randint(60, 90)] + noise(rng.randint(0, 60))) for i in range(2500)]
+    want = brute(docs)
+    assert sum(r[2] > 0 for r in want) > 500
+    assert run(spark, docs, hot_blocks=1) == want
 
 
 def test_empty_table(spark):
