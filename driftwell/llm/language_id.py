@@ -174,8 +174,12 @@ def has_letter(text: bytes) -> bool:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", learn_bytes: int = LEARN_BYTES) -> ContextTrees:
-    """Trees from a bounded hash sample of the labelled rows; null texts and labels are not learned from."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), utf8(F.col(text_col)).alias("utf8"), F.col(id_col).alias("id")).where("lang IS NOT NULL AND octet_length(utf8) BETWEEN 1 AND " + str(LONGEST))
+    """Trees from a bounded hash sample of the labelled rows, texts of up to LONGEST bytes.
+
+    Null and empty texts and null labels are not learned from; without any row to learn from the trees know no
+    language. Repeated rows are drawn together; null ids take part. Other columns are ignored.
+    """
+    rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), utf8(F.col(f"`{text_col}`")).alias("utf8"), F.col(f"`{id_col}`").alias("id")).where("lang IS NOT NULL AND octet_length(utf8) BETWEEN 1 AND " + str(LONGEST))
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length("utf8")).alias("bytes")).collect()
     rate = F.lit(0.0)
     for r in totals:
@@ -220,5 +224,6 @@ def identify(docs: DataFrame, trees: ContextTrees, text_col: str = "text") -> Da
 
 
 def keep_identified(docs: DataFrame, trees: ContextTrees, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The documents with a language; those without letters, or undecided between languages, go."""
+    """The documents with a language; those without letters (null and empty texts too), or undecided between languages,
+    go. Repeated rows stay or go alike; columns and their names are the documents' own; an empty table gives no rows."""
     return identify(docs, trees, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -344,7 +344,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> tuple[list[bytes], bytes,
     Words are counted over the corpus; the network's vocabulary grows with the distinct ones. Each partition trains a
     network over its own words from the same start, and the networks are averaged by word counts, piece by piece, first
     in groups, then as one, so that no task or driver holds many. The words that share a number are not bounded; they
-    stay in a distributed table (see `_within`).
+    stay in a distributed table (see `_within`). Null, empty and blank texts say nothing; repeated rows count as often as
+    they come; an empty table gives no words and the network it would have started with. Only the text is read.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     texts = docs.select(utf8(F.col(f"`{text_col}`")).alias("utf8"))
