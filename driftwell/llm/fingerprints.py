@@ -187,7 +187,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = min(max(size // PART_BYTES, LEAST_PARTS), MOST_PARTS)
     # Splitters of equal bytes: a row is drawn with a probability that goes with its size.
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("part"), "k", "h"), 11) / F.lit(float(1 << 53))
-    drawn = sorted((r[0], r[1]) for r in rows.select("k", "h", "size").where(draw * size < F.col("size") * (parts * SAMPLES_PER_PART)).select("k", "h").collect())
+    drawn = sorted((r[0], r[1]) for r in rows.select("k", "h", "size").where(draw * size < F.col("size") * float(parts * SAMPLES_PER_PART)).select("k", "h").collect())
     splitters = np.array(sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else [], np.int64).reshape(-1, 2)
 
     @pandas_udf("int")

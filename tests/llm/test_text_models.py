@@ -100,6 +100,14 @@ def test_texts_without_language(spark):
 # Fingerprints
 
 
+def test_many_parts_of_large_texts(spark, monkeypatch):
+    """Bytes of a text times samples of all parts are beyond an int."""
+    monkeypatch.setattr(fingerprints, "SAMPLES_PER_PART", 1 << 20)
+    rows = [(i, f"text {i} " * 50) for i in range(40)]
+    out = fingerprints.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in out) == [(i, len(t)) for i, t in rows]
+
+
 def test_edited_neighbours(spark):
     rng = random.Random(2)
     rows = [(i * 3, "".join(rng.choice("abcdé 漢𝄞") for _ in range(rng.randint(0, 400)))) for i in range(200)] + [(None, "last"), (3, "tie"), (900, None), (901, "long " * 20_000), (902, "")]
