@@ -1,7 +1,8 @@
 """Snapshot-versioned tables: data files, equality-delete files, and one manifest file for each snapshot.
 
 A data row carries the snapshot that wrote it. An equality delete of snapshot N hides rows of its key from snapshots
-before N and none of N itself. A manifest is written last and never overwritten: that is the commit.
+before N and none of N itself. A manifest is written last and never overwritten: that is the commit. A compaction
+changes no row, so it has no snapshot of its own: its manifest is a further revision of the snapshot that it rewrites.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from itertools import takewhile
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -115,13 +117,13 @@ class Table:
         names = [name for name, _, _ in self.files.list("_manifest", ".json")]
         self._manifests = {n: self._manifests.get(n) or json.loads(self.files.read(n)) for n in names}
         out = list(self._manifests.values())
-        base = max((m["snapshot"] for m in out if m["kind"] == "base"), default=-1)
-        out = [m for m in out if m["snapshot"] > base or (m["snapshot"] == base and m["kind"] == "base")]
+        base = max((_place(m) for m in out if m["kind"] == "base"), default=(-1, 0))
+        out = [m for m in out if _place(m) > base or (_place(m) == base and m["kind"] == "base")]
         return [m for m in out if upto is None or m["snapshot"] <= upto]
 
     def _commit(self, snapshot: int, now_ms: int, body: dict) -> int:
         entry = {"snapshot": snapshot, "timestamp_ms": now_ms, "data": [], "deletes": [], "removed": []} | body
-        self.files.create(f"_manifest/{snapshot:012d}.json", json.dumps(entry))
+        self.files.create(_manifest(entry), json.dumps(entry))
         return snapshot
 
     @property
@@ -275,7 +277,8 @@ class Table:
 
         The rows' own snapshots stay, so reads as of earlier snapshots are unchanged. None if there is nothing to do.
         """
-        data, deletes = self.live_files("data"), self.live_files("deletes")
+        at = self.history()[-1]
+        data, deletes = self.live_files("data", at["snapshot"]), self.live_files("deletes", at["snapshot"])
         if not force and len(data) < data_files and len(deletes) < delete_files:
             return None
         schema = self.schema()
@@ -292,10 +295,12 @@ class Table:
         newest = rows.groupBy(*schema.key).agg(F.max(F.struct(SNAPSHOT, *(c.name for c in schema.columns if not c.key))).alias("r"))
         newest = newest.select(*(F.col(c.name) if c.key else F.col(f"r.{c.name}").alias(c.name) for c in schema.columns), F.col(f"r.{SNAPSHOT}").alias(SNAPSHOT))
         kept = newest.join(hidden, schema.key, "left").where(f"_deleted IS NULL OR _deleted <= {SNAPSHOT}").drop("_deleted") if deletes else newest
+        if not self._transforms():  # files of the target's size, or the next call would find as many small ones again
+            kept = kept.repartition(-(-sum(f["bytes"] for f in chosen) // max(target_bytes, 1)) or 1)
         made = self._with_rows(self._write(kept, "data", True)) if chosen else []
         before = sum(f["rows"] for f in chosen)
         removed = [f["path"] for f in [*chosen, *deletes]]
-        self._commit(self.snapshot + 1, now_ms, {"kind": "replace", "data": made, "removed": removed})
+        self._commit(at["snapshot"], now_ms, {"kind": "replace", "revision": at.get("revision", 0) + 1, "data": made, "removed": removed})
         distinct = newest.count() if chosen else 0
         after = sum(f["rows"] for f in made)
         return CompactionResult(len(chosen), len(deletes), len(made), before, distinct - after, sum(f["bytes"] for f in [*chosen, *deletes]), sum(f["bytes"] for f in made))
@@ -306,17 +311,17 @@ class Table:
         deleted leaves files that history() passes over."""
         history = self.history()
         limit = history[-1]["timestamp_ms"] - retention_ms
-        old = [m for m in history[:-1] if m["timestamp_ms"] < limit]
+        old = list(takewhile(lambda m: m["timestamp_ms"] < limit, history[:-1]))
         count = sum(m["kind"] != "base" for m in old)
         if not count:
             return 0
         cut, gone = old[-1], {p for m in old for p in m["removed"]}
-        base = {"snapshot": cut["snapshot"], "timestamp_ms": cut["timestamp_ms"], "kind": "base", "schema": self.schema(cut["snapshot"]).to_json(), "removed": []}
+        base = {"snapshot": cut["snapshot"], "revision": cut.get("revision", 0), "timestamp_ms": cut["timestamp_ms"], "kind": "base", "schema": self.schema(cut["snapshot"]).to_json(), "removed": []}
         base |= {kind: [f for m in old for f in m[kind] if f["path"] not in gone] for kind in ("data", "deletes")}
         base["batch"] = max((m["batch"] for m in old if m.get("batch") is not None), default=None)
-        self.files.create(f"_manifest/{cut['snapshot']:012d}-base.json", json.dumps(base))
+        self.files.create(_manifest(base), json.dumps(base))
         for m in old:
-            self.files.delete(f"_manifest/{m['snapshot']:012d}{'-base' if m['kind'] == 'base' else ''}.json")
+            self.files.delete(_manifest(m))
         return count
 
     def orphans(self, now_ms: int, grace_ms: int = 30 * 60_000) -> tuple[list[tuple[str, int]], int]:
@@ -342,6 +347,16 @@ class Table:
         return {"expired": expired, "deleted": deleted, "bytes_freed": freed, "protected": protected}
 
 
+def _place(manifest: dict) -> tuple[int, int]:
+    return manifest["snapshot"], manifest.get("revision", 0)
+
+
+def _manifest(entry: dict) -> str:
+    """Names sort by snapshot and revision."""
+    number, revision = _place(entry)
+    return f"_manifest/{number:012d}{f'.r{revision:06d}' if revision else ''}{'-base' if entry['kind'] == 'base' else ''}.json"
+
+
 def _relative() -> Column:
     """A file's path below its table, as the manifest has it; files of one write share names across partitions."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

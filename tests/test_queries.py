@@ -11,6 +11,20 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert_same(catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", ["commit_metadata"])
+def test_commits_of_many_files(spark, sf_dir, name):
+    """So many files that each commit is compacted."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert_same(catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name], sf_dir)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

@@ -299,3 +299,19 @@ def test_deletes_lie_with_the_rows_they_hide(spark):
     assert state_of(table, where={"a": ("", "b")}) == {3: ("", 7)}
     table.compact(force=True)
     assert state_of(table) == {1: ("y", 1), 3: ("", 7), 4: (None, 1)}
+
+
+def test_compaction_keeps_the_snapshot(spark):
+    """A compaction between two commits takes no number, and finds nothing left of its own to do."""
+    table = new(spark)
+    apply_batch(table, spark.createDataFrame([("I", k, [], k, "x", k) for k in range(8)], LOG), 0, compact=False)
+    assert table.compact(data_files=1, delete_files=1) is not None
+    assert table.snapshot == 1 and len(table.live_files("data")) == 1
+    apply_batch(table, spark.createDataFrame([("D", 9, [], 1, None, None)], LOG), 1, compact=False)
+    assert table.snapshot == 2
+    assert sorted(state_of(table)) == [0, 2, 3, 4, 5, 6, 7] and sorted(state_of(table, snapshot=1)) == list(range(8))
+    table.compact(force=True)
+    table.compact(force=True)
+    assert table.snapshot == 2 and sorted(state_of(table)) == [0, 2, 3, 4, 5, 6, 7]
+    table.expire(-1)
+    assert sorted(state_of(table)) == [0, 2, 3, 4, 5, 6, 7]
