@@ -11,7 +11,7 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert_same(catalog.queries()[name](spark, sf_dir), catalog.oracle_sql()[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["commit_metadata"])
+@pytest.mark.parametrize("name", ["commit_metadata", "marker_emission"])
 def test_commits_of_many_files(spark, sf_dir, name):
     """So many files that each commit is compacted."""
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "9"}
