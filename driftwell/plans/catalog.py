@@ -394,14 +394,16 @@ def key_change_split(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey + CASE WHEN o_orderkey % 4 = 0 THEN 1000000 ELSE 0 END AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
 CASE WHEN o_orderkey % 8 = 0 THEN 'fresh' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
 def key_change_staged(spark: SparkSession, d: str) -> DataFrame:
-    """Moved keys that leave out a value, through staged files; half of them were updated in the same batch before."""
+    """Moved keys that leave out a value, through staged files; half of them were updated in the same batch before. The
+    largest keys come first, so that a key that another one moves to is free by then."""
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderpriority")
     table = Table.create(spark, workspace(spark, "moved"), TableSchema.of(orders.schema, ["k"]))
     table.commit(orders.withColumn("_op", F.lit("I")))
     row = lambda k, c, p: F.struct(k.alias("k"), c.alias("o_custkey"), p.alias("o_orderpriority"))
     k, c, none = F.col("k"), F.col("o_custkey"), F.lit(None).cast("string")
-    fresh = orders.where("k % 8 = 0").select(F.lit("U").alias("_op"), (k * 2).alias("_seq"), F.array().cast("array<string>").alias("_unchanged"), F.lit(None).cast("struct<k: bigint, o_custkey: bigint, o_orderpriority: string>").alias("before"), row(k, c, F.lit("fresh")).alias("after"))
-    moved = orders.where("k % 4 = 0").select(F.lit("U").alias("_op"), (k * 2 + 1).alias("_seq"), F.array(F.lit("o_orderpriority")).alias("_unchanged"), row(k, c, none).alias("before"), row(k + 1_000_000, c + 1, none).alias("after"))
+    at = F.lit(1 << 60) - k * 2
+    fresh = orders.where("k % 8 = 0").select(F.lit("U").alias("_op"), at.alias("_seq"), F.array().cast("array<string>").alias("_unchanged"), F.lit(None).cast("struct<k: bigint, o_custkey: bigint, o_orderpriority: string>").alias("before"), row(k, c, F.lit("fresh")).alias("after"))
+    moved = orders.where("k % 4 = 0").select(F.lit("U").alias("_op"), (at + 1).alias("_seq"), F.array(F.lit("o_orderpriority")).alias("_unchanged"), row(k, c, none).alias("before"), row(k + 1_000_000, c + 1, none).alias("after"))
     path = workspace(spark, "staged")
     changelog.write_staged(changelog.split_key_changes(changelog.checked(fresh.unionByName(moved)), ["k"], ["k", "o_custkey", "o_orderpriority"]), path)
     apply_batch(table, changelog.read_staged(spark, path, table.schema().struct(), ["k"]), 0, compact=False)

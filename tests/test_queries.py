@@ -25,6 +25,12 @@ def test_commits_of_many_files(spark, sf_dir, name):
             spark.conf.set(k, v)
 
 
+def test_keys_that_move_to_each_other(spark, tmp_path):
+    keys = [3, 4, 8, 1_000_004, 1_000_008, 2_000_004, 2_000_005]
+    spark.createDataFrame([(k, k % 7, f"{k}-P") for k in keys], "o_orderkey long, o_custkey long, o_orderpriority string").toPandas().to_parquet(tmp_path / "orders.parquet")
+    assert_same(catalog.queries()["key_change_staged"](spark, str(tmp_path)), catalog.oracle_sql()["key_change_staged"], str(tmp_path))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
