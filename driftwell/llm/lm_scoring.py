@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.llm.shared import Scratch, utf8
-from driftwell.llm.words import space_words
+from driftwell.llm.words import split_all
 
 #: Output words: at least CLASSES classes of as many words each; the number of classes grows with the corpus (see
 #: `classes_for`). The most frequent words have their own number, the others share HASHED of every WORDS numbers.
@@ -24,6 +23,8 @@ CLASSES, HASHED = 32, 64
 WORDS = CLASSES * CLASSES
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE, SEED = 16, 8192, 0.15, 5
+#: Texts of which the words are trained on in batches; their last batch is what is left.
+TEXTS = 256
 #: Classes at most: a network of a million words has 340 MB. What is gathered of rarer words goes on growing in the table
 #: of counts (see `_within`).
 MOST_CLASSES = 1024
@@ -32,6 +33,8 @@ MOST_CLASSES = 1024
 KNOWN = 200_000
 #: Scores above this are shifted before they are raised, so that the exponents stay finite whatever the weights.
 SAFE = 60.0
+#: Rows that are computed together; any number gives the same results but for rounding.
+BLOCK = 512
 
 #: Floats of a network: so many for each of its words, and so many besides.
 _PER_WORD, _BESIDES = (len(OFFSETS) + 1) * WIDTH + 1, (len(OFFSETS) + 1) * WIDTH
@@ -64,7 +67,7 @@ class Vocabulary:
     def __init__(self, frequent: list[bytes], words: int = WORDS, known: list[tuple[bytes, int, int]] = ()):
         self.words, self.shared = words, shared_numbers(words)
         self.own = words - self.shared
-        self.at = {w: i for i, w in enumerate([*frequent, *(w for w, _, _ in known)])}
+        self.known = pa.array([*frequent, *(w for w, _, _ in known)], pa.binary())
         kind = np.uint16 if words < 1 << 16 else np.uint32
         # Two more places: the last but one for words not known here, the last for padding.
         self.numbers = np.concatenate([np.arange(len(frequent)), self.own + np.array([b for _, b, _ in known], np.int64), [0, words]]).astype(kind)
@@ -73,44 +76,40 @@ class Vocabulary:
     def __getitem__(self, word: bytes) -> int:
         return int(self.numbered([word])[0][max(OFFSETS)])
 
-    def _shared_number(self, word: bytes) -> int:
-        return self.own + (xxhash.xxh64_intdigest(word, 42) >> 1) % self.shared
-
-    def numbered(self, texts: list[bytes | None], with_rest: bool = False) -> tuple:
+    def numbered(self, texts: pa.Array | list[bytes | None], with_rest: bool = False) -> tuple:
         """Word numbers of all texts with padding around each, where the words are, how many each text has, the sum of
-        each text's known shares, and on request the counts of each text's other words without a number of their own."""
-        far = max(OFFSETS)
-        unknown, padding = len(self.numbers) - 2, len(self.numbers) - 1
-        get, rest, pad = self.at.get, repeat(unknown), [padding] * far
-        places, words, counts = list(pad), [b""] * far, []
-        for t in texts:
-            found = space_words(t) if t else []
-            counts.append(len(found))
-            places += map(get, found, rest)
-            places += pad
-            words += found
-            words += [b""] * far
-        places = np.array(places, np.int64)
-        numbers = self.numbers[places]
+        each text's known shares, and on request a list for each text of its other words without a number of their own,
+        with how often they come."""
+        far, unknown = max(OFFSETS), len(self.numbers) - 2
+        words, counts = split_all(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
+        places = pc.fill_null(pc.index_in(words, value_set=self.known), unknown).to_numpy()
+        found = self.numbers[places]
         missed = np.flatnonzero(places == unknown)
+        rest = words.take(pa.array(missed)).dictionary_encode()
+        new, which = rest.dictionary, rest.indices.to_numpy()
         if len(missed):
-            numbers[missed] = [self._shared_number(words[i]) for i in missed.tolist()]
-        counts = np.array(counts, np.int64)
-        ends = far + np.cumsum(counts + far) - far
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new.to_pylist()], np.uint64)
+            found[missed] = (self.own + (hashes >> np.uint64(1)) % np.uint64(self.shared)).astype(found.dtype)[which]
+        text = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(words)) + far * (text + 1)
+        numbers = np.full(far + len(words) + far * len(counts), self.words, found.dtype)
+        numbers[at] = found
+        ends = np.cumsum(counts)
         upto = np.concatenate([[0], np.cumsum(self.log_p[places])])
-        out = numbers, np.flatnonzero(places != padding), counts, upto[ends] - upto[ends - counts]
+        out = numbers, at, counts, upto[ends] - upto[ends - counts]
         if not with_rest:
             return out
-        edges = np.searchsorted(missed, np.concatenate([[0], ends])).tolist()
-        missed = missed.tolist()
-        return *out, [Counter(words[i] for i in missed[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
+        pairs, n = np.unique(text[missed] * max(1, len(new)) + which, return_counts=True)
+        edges = np.searchsorted(pairs, np.arange(len(counts) + 1) * max(1, len(new)))
+        items = pa.StructArray.from_arrays([new.take(pa.array(pairs % max(1, len(new)))), pa.array(n, pa.int64())], ["word", "n"])
+        return *out, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items)
 
 
 @dataclass
 class Window:
     """tanh of summed position embeddings of the words around, then a class, then a word of that class."""
 
-    embed: np.ndarray  # [offset, word or padding, WIDTH]
+    embed: np.ndarray  # [offset, word or padding, WIDTH]; in memory what a word has for all offsets lies together
     bias: np.ndarray
     classes: np.ndarray  # [WIDTH + 1, class]
     words: np.ndarray  # [class, WIDTH + 1, word of it]
@@ -119,7 +118,7 @@ class Window:
     def fresh(cls, classes: int = CLASSES) -> Window:
         rng = np.random.default_rng(SEED)
         return cls(
-            rng.normal(0, 0.1, (len(OFFSETS), classes * classes + 1, WIDTH)).astype(np.float32),
+            rng.normal(0, 0.1, (len(OFFSETS), classes * classes + 1, WIDTH)).transpose(1, 0, 2).astype(np.float32, order="C").transpose(1, 0, 2),
             np.zeros(WIDTH, np.float32),
             rng.normal(0, 0.1, (WIDTH + 1, classes)).astype(np.float32),
             rng.normal(0, 0.1, (classes, WIDTH + 1, classes)).astype(np.float32),
@@ -146,119 +145,205 @@ class Window:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """around: numbers of the words at OFFSETS of each masked word. A column of ones is added for the biases."""
-        h = self.embed[0][around[0]]
+        h = np.ones((around.shape[1], WIDTH + 1), self.bias.dtype)
+        rows = _by_word(self.embed).reshape(-1, WIDTH)
+        at = around * np.int64(len(OFFSETS))
+        near = rows.take(at[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += self.embed[k][around[k]]
-        return np.concatenate([np.tanh(h + self.bias), np.ones((len(h), 1), np.float32)], axis=1)
+            near += rows.take(at[k] + k, axis=0)
+        near += self.bias
+        np.tanh(near, out=h[:, :WIDTH])
+        return h
 
     def log_likelihood(self, word: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each masked word given the words around it."""
-        of, inside = _split(word, len(self.words))
-        order = np.argsort(of, kind="stable")
-        of, inside, h = of[order], inside[order], self.hidden(around[:, order])
-        found = _log_of(h @ self.classes, of).astype(np.float64)
-        for c, rows in _by_class(of, len(self.words)):
-            found[rows] += _log_of(h[rows] @ self.words[c], inside[rows])
+        order, of, inside, by_class = _by_class(word, len(self.words))
+        h, found = self.hidden(around[:, order]), np.empty(len(word))
+        for some, rows in _blocks(by_class):
+            x = h[rows] @ self.classes
+            found[rows] = _log_of(x, of[rows])
+            for c, lo, hi in some:
+                np.dot(h[lo:hi], self.words[c], out=x[lo - rows.start : hi - rows.start])
+            found[rows] += _log_of(x, inside[rows])
         out = np.empty(len(word))
         out[order] = found
         return out
 
-    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One AdaGrad step on the mean negative log-likelihood of a batch. Words and classes that the batch doesn't
-        hold have no gradient and are not touched."""
+    def learn(self, ids: np.ndarray, at: np.ndarray, memory: list[np.ndarray]) -> None:
+        """One AdaGrad step on the mean negative log-likelihood of the words at some ascending places of a text. Words
+        and classes that the text doesn't hold there have no gradient and are not touched."""
         m_embed, m_bias, m_classes, m_words = memory
-        g_embed, g_bias, g_classes, g_words = self.gradients(word, around)
-        for k, (some, g) in enumerate(g_embed):
-            m_embed[k][some] = m = m_embed[k][some] + g * g
-            self.embed[k][some] -= RATE * g / np.sqrt(m)
+        some, g, g_bias, g_classes, g_words = self._gradients(ids, at)
+        weights, memories = _by_word(self.embed), _by_word(m_embed)
+        m = memories.take(some, axis=0)
+        m += g * g
+        memories[some] = m
+        own = weights.take(some, axis=0)
+        own -= _change(g, m)
+        weights[some] = own
         _step(self.bias, g_bias, m_bias)
         _step(self.classes, g_classes, m_classes)
         for c, g in g_words:
             _step(self.words[c], g, m_words[c])
 
+    def train(self, word: np.ndarray, around: np.ndarray, memory: list[np.ndarray]) -> None:
+        """As `learn`, of words and the words around each."""
+        self.learn(*_as_text(word, around), memory)
+
     def gradients(self, word: np.ndarray, around: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list]:
         """Of the mean negative log-likelihood: (for each offset the words that have one and theirs, of the biases, of
-        the classes, (class, of its words) for each class that the batch holds)."""
-        of, inside = _split(word, len(self.words))
-        order = np.argsort(of, kind="stable")  # rows of one class lie together from here on
-        of, inside, around = of[order], inside[order], around[:, order]
-        n, h = np.float32(len(word)), self.hidden(around)
-        p = _error(h @ self.classes, of, n)
-        back, g_words = p @ self.classes.T, []
-        for c, rows in _by_class(of, len(self.words)):
-            q = _error(h[rows] @ self.words[c], inside[rows], n)
-            back[rows] += q @ self.words[c].T
-            g_words.append((c, h[rows].T @ q))
-        back = back[:, :WIDTH] * (1 - h[:, :WIDTH] ** 2)
-        g_embed = []
-        for near in around:
-            by = np.argsort(near, kind="stable")
-            near = near[by]
-            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-            g_embed.append((near[first], np.add.reduceat(back[by], first)))
-        return g_embed, back.sum(axis=0), h.T @ p, g_words
+        the classes, (classes, of their words) for all classes that the batch holds)."""
+        some, g, *others = self._gradients(*_as_text(word, around))
+        return [(some[has], g[has, k]) for k, has in enumerate(np.isin(some, near) for near in around)], *others
+
+    def _gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """(words, theirs for each offset, of the biases, of the classes, (classes, of their words))."""
+        order, of, inside, by_class = _by_class(ids[at], len(self.words))  # rows of one class lie together from here on
+        lo, hi = at[0] + min(OFFSETS), at[-1] + max(OFFSETS) + 1
+        ids, at, n = ids[lo:hi], at[order] - lo, at.dtype.type(len(at))
+        h = self.hidden(_around(ids, at))
+        back, own = np.empty((2, len(h), WIDTH), h.dtype)
+        g_classes, g_words = np.zeros_like(self.classes), []
+        for some, rows in _blocks(by_class):
+            x = h[rows] @ self.classes
+            scale = _error(x, of[rows], n)
+            g_classes += (h[rows] * scale).T @ x
+            np.dot(x, self.classes[:WIDTH].T, out=back[rows])
+            back[rows] *= scale
+            for c, lo, hi in some:
+                np.dot(h[lo:hi], self.words[c], out=x[lo - rows.start : hi - rows.start])
+            scale = _error(x, inside[rows], n)
+            scaled, g = (h[rows] * scale).T, np.empty((len(some), *self.classes.shape), x.dtype)
+            for i, (c, lo, hi) in enumerate(some):
+                part = x[lo - rows.start : hi - rows.start]
+                np.dot(part, self.words[c, :WIDTH].T, out=own[lo:hi])
+                np.dot(scaled[:, lo - rows.start : hi - rows.start], part, out=g[i])
+            own[rows] *= scale
+            g_words.append((slice(some[0][0], some[-1][0] + 1), g))
+        back += own
+        # By places of the text: a word's gradient for an offset is that of the place so far before it.
+        far = max(OFFSETS)
+        placed = np.zeros((len(ids) + 2 * far, WIDTH), back.dtype)
+        placed[at + far] = back * (1 - h[:, :WIDTH] ** 2)
+        by = np.argsort(ids, kind="stable")
+        ids = ids[by]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows = np.diff(first, append=len(ids))
+        more, once = rows > 1, by[first]  # a word that comes once needs no sum
+        by, starts = by[np.repeat(more, rows)], np.cumsum(rows[more]) - rows[more]
+        g_embed = np.empty((len(first), len(OFFSETS), WIDTH), back.dtype)
+        for k, o in enumerate(OFFSETS):
+            g_embed[:, k] = placed.take(once + (far - o), axis=0)
+            if len(by):
+                g_embed[more, k] = np.add.reduceat(placed.take(by + (far - o), axis=0), starts)
+        return ids[first], g_embed, placed.sum(axis=0), g_classes, g_words
+
+
+def _by_word(a: np.ndarray) -> np.ndarray:
+    """[word or padding, offset, WIDTH], as it lies in memory."""
+    return a.transpose(1, 0, 2)
+
+
+def _as_text(word: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text of the words and those around each, and the places of the words in it."""
+    width = max(OFFSETS) - min(OFFSETS) + 1
+    at = np.arange(len(word)) * width - min(OFFSETS)
+    ids = np.empty(len(word) * width, np.result_type(word, around))
+    ids[at] = word
+    for o, near in zip(OFFSETS, around, strict=True):
+        ids[at + o] = near
+    return ids, at
+
+
+def _change(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+    out = np.sqrt(m)
+    np.divide(g, out, out=out)
+    out *= RATE
+    return out
 
 
 def _step(a: np.ndarray, g: np.ndarray, m: np.ndarray) -> None:
     m += g * g
-    a -= RATE * g / np.sqrt(m)
+    a -= _change(g, m)
 
 
-def _raised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of scores, in place, and its sums over rows; rows are shifted by their largest score where one is large."""
+def _raised(x: np.ndarray) -> np.ndarray:
+    """Raises scores in place; their sums over rows. Rows are shifted by their largest score where one is large."""
     if x.size and x.max() > SAFE:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    return x, x @ np.ones((x.shape[1], 1), x.dtype)
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of scores at one place of each row."""
     if x.size and x.max() > SAFE:
         x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(at)), at]
-    return own - np.log(_raised(x)[1][:, 0])
+    own = x.reshape(-1).take(_places(x, at))
+    return own - np.log(_raised(x))
 
 
-def _error(x: np.ndarray, at: np.ndarray, n: np.float32) -> np.ndarray:
-    """Softmax of scores less one at the right place, over n."""
-    x, total = _raised(x)
-    x *= 1 / (total * n)
-    x[np.arange(len(at)), at] -= 1 / n
-    return x
+def _places(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.arange(0, x.size, x.shape[1]) + at
 
 
-def _split(word: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _error(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Softmax of scores less one at the right place, over n: x in place, to be multiplied by the column returned."""
+    total = _raised(x)
+    x.reshape(-1)[_places(x, at)] -= total
+    return (1 / (total * x.dtype.type(n)))[:, None]
+
+
+def _by_class(word: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order that sorts words by class, in that order the classes and the words' places in them, and (class, first
+    row, end) of each class there is."""
     kind = np.uint8 if classes <= 256 else np.uint16
-    return (word % classes).astype(kind), (word // classes).astype(kind)
+    of = (word % classes).astype(kind)
+    order = np.argsort(of, kind="stable")
+    edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=classes))]).tolist()
+    return order, of[order], (word // classes)[order], [(c, lo, hi) for c, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if lo < hi]
 
 
-def _by_class(of: np.ndarray, classes: int) -> Iterator[tuple[int, slice]]:
-    """(class, its rows) of rows sorted by class."""
-    edges = np.searchsorted(of, np.arange(classes + 1)).tolist()
-    for c, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        if lo < hi:
-            yield c, slice(lo, hi)
+def _blocks(by_class: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[int, int, int]], slice]]:
+    """Runs of classes, none left out between, with some BLOCK rows in all, and their rows; the scores of so many stay in
+    a processor's cache."""
+    at = 0
+    while at < len(by_class):
+        end = at + 1
+        while end < len(by_class) and by_class[end][0] == by_class[end - 1][0] + 1 and by_class[end][2] - by_class[at][1] <= BLOCK:
+            end += 1
+        yield by_class[at:end], slice(by_class[at][1], by_class[end - 1][2])
+        at = end
 
 
 def _around(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([ids[at + o] for o in OFFSETS])
 
 
+def _some(texts: pa.Array, most: int = 1 << 24) -> Iterator[pa.Array]:
+    """Texts in runs of 4 * TEXTS, or of TEXTS where so many have more than `most` bytes."""
+    step = 4 * TEXTS if texts.nbytes * 4 * TEXTS <= most * len(texts) else TEXTS
+    for lo in range(0, len(texts), step):
+        yield texts.slice(lo, step)
+        pa.default_memory_pool().release_unused()
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    kept: list[pa.Table] = []
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
+    def merged() -> pa.Table:
+        return pa.concat_tables(kept).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            counts.update(space_words(t) if t else ())
-            if len(counts) > 300_000:
-                yield flush()
-    yield flush()
+        for texts in _some(batch.column(0)):
+            found = split_all(texts)[0].value_counts()
+            kept.append(pa.table([found.field(0), found.field(1)], ["word", "n"]))
+            if sum(t.num_rows for t in kept) > 600_000:
+                kept = [merged()]
+                if kept[0].num_rows > 300_000:
+                    yield from kept.pop().to_batches()
+    if kept:
+        yield from merged().to_batches()
 
 
 def _train(frequent, known, classes: int):
@@ -267,11 +352,12 @@ def _train(frequent, known, classes: int):
         vocabulary = Vocabulary(frequent.value, net.n_words, known.value)
         memory = [np.full_like(a, 1e-6) for a in net.arrays()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids, at, _, _ = vocabulary.numbered(batch.column(0).slice(lo, 256).to_pylist())
-                for b in range(0, len(at), BATCH):
-                    part = at[b : b + BATCH]
-                    net.train(ids[part], _around(ids, part), memory)
+            for texts in _some(batch.column(0)):
+                ids, at, counts, _ = vocabulary.numbered(texts)
+                upto = np.concatenate([[0], np.cumsum(counts)])[::TEXTS].tolist()
+                for lo, hi in zip(upto, [*upto[1:], len(at)], strict=True):
+                    for b in range(lo, hi, BATCH):
+                        net.learn(ids, at[b : min(b + BATCH, hi)], memory)
                 seen += len(at)
         if seen:
             part, flat = TaskContext.get().partitionId(), net.flat()
@@ -296,21 +382,20 @@ def _average(group: pa.Table) -> pa.Table:
 def _score(frequent, known, weights):
     """(key, n_words, log_p, shares, words): of every text the network's log-probability, the shares known here in
     millionths, and the words that have neither a number of their own nor a known share, with how often they come."""
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Window.of(np.frombuffer(weights.value, np.float32))
         vocabulary = Vocabulary(frequent.value, net.n_words, known.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids, at, counts, shares, rest = vocabulary.numbered(part.column(1).to_pylist(), with_rest=True)
+            done = 0
+            for texts in _some(batch.column(1)):
+                ids, at, counts, shares, words = vocabulary.numbered(texts, with_rest=True)
                 logs = [net.log_likelihood(ids[p], _around(ids, p)) for p in (at[b : b + BATCH] for b in range(0, len(at), BATCH))]
                 upto = np.concatenate([[0.0], np.cumsum(np.concatenate(logs or [np.empty(0)]))])
                 ends = np.cumsum(counts)
                 total = upto[ends] - upto[ends - counts]
-                words = pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rest], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(total, pa.float64()), pa.array(shares, pa.int64()), words], ["key", "n_words", "log_p", "shares", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), pa.array(counts), pa.array(total, pa.float64()), pa.array(shares, pa.int64()), words], ["key", "n_words", "log_p", "shares", "words"])
+                done += len(texts)
 
     return score
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _UPPER = bytes(range(65, 91))
@@ -35,6 +36,20 @@ def space_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def split_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`space_words` of all texts, one after another, and how many each has; a null has none."""
+    kind = pa.large_utf8() if pa.types.is_large_binary(texts.type) else pa.utf8()
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))  # bytes that are no ASCII are passed over
+    words, counts = found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = words.view(pa.binary()) if kind == pa.utf8() else words.view(pa.large_binary()).cast(pa.binary())
+    empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+    if len(empty):  # whitespace at the ends of a text leaves empty words
+        ends = np.cumsum(counts)
+        counts -= np.searchsorted(empty, ends) - np.searchsorted(empty, ends - counts)
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+    return words, counts
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased runs of ASCII letters, digits and non-ASCII bytes."""
     return text.translate(ALNUM).split()

@@ -4,10 +4,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from driftwell.llm import decontamination, fingerprints, language_id, lm_scoring, toxicity
+from driftwell.llm.words import space_words, split_all
 
 
 # Benchmark decontamination
@@ -281,6 +284,53 @@ def test_gradients_against_differences():
             assert g[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-6)
 
 
+@pytest.mark.parametrize("block", [1, 7, 512, 10_000])
+def test_steps_on_texts(monkeypatch, block):
+    """A step on places of a text is the step on its words and those around them, however rows lie in blocks."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 300, 400).astype(np.uint16)
+    ids[::9] = lm_scoring.WORDS
+    at = np.flatnonzero(ids != lm_scoring.WORDS)
+    at = at[(at > 1) & (at < 398)]
+    nets = [lm_scoring.Window.fresh(), lm_scoring.Window.fresh()]
+    memories = [[np.full_like(a, 1e-6) for a in net.arrays()] for net in nets]
+    for _ in range(3):
+        monkeypatch.setattr(lm_scoring, "BLOCK", block)
+        nets[0].learn(ids, at, memories[0])
+        monkeypatch.setattr(lm_scoring, "BLOCK", 512)
+        nets[1].train(ids[at], lm_scoring._around(ids, at), memories[1])
+    for a, b, fresh in zip(nets[0].arrays(), nets[1].arrays(), lm_scoring.Window.fresh().arrays(), strict=True):
+        assert np.abs(a - b).max() < 1e-3 < np.abs(a - fresh).max()
+    unseen = np.setdiff1d(np.arange(lm_scoring.WORDS), ids)
+    assert np.array_equal(nets[0].embed[:, unseen], lm_scoring.Window.fresh().embed[:, unseen])
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_numbers_of_whole_batches(kind):
+    """Words cut and numbered a batch at a time are those of one text after another, whatever the bytes."""
+    rng = random.Random(3)
+    texts = [None, b"", b" ", b"  The the\tx ", b"\xff A\xfe\x00 \x1c \xc2\x85 \xc2\xa0", *(bytes(rng.choices(range(256), k=rng.randrange(60))) for _ in range(500))]
+    texts += [bytes(rng.choices(b" \t\n\x0b\x0c\r\x1cAbz\xc3", k=rng.randrange(40))) for _ in range(500)]
+    plain = [space_words(t) if t else [] for t in texts]
+    words, counts = split_all(pa.array([b"left out", *texts], kind).slice(1))
+    assert words.to_pylist() == [w for t in plain for w in t] and counts.tolist() == [len(t) for t in plain]
+    assert split_all(pa.array([], kind))[0].to_pylist() == []
+
+    numbers = lm_scoring.Vocabulary([b"a", b"the"], known=[(b"b", 5, -100), (b"z", 9, -7)])
+    ids, at, counts, shares, rest = numbers.numbered(pa.array(texts, kind), with_rest=True)
+    own, known = {b"a": 0, b"the": 1}, {b"b": -100, b"z": -7}
+    assert counts.tolist() == [len(t) for t in plain] and shares.tolist() == [sum(known.get(w, 0) for w in t) for t in plain]
+    assert [{x["word"]: x["n"] for x in r} for r in rest.to_pylist()] == [Counter(w for w in t if w not in own and w not in known) for t in plain]
+    alone = [numbers.numbered([t])[0] for t in texts]
+    assert np.array_equal(ids, np.concatenate([alone[0], *(a[2:] for a in alone[1:])]))
+    flat = [w for t in plain for w in t]
+    assert all(int(i) == own.get(w, lm_scoring.WORDS - lm_scoring.HASHED + {b"b": 5, b"z": 9}.get(w, (xxhash.xxh64_intdigest(w, 42) >> 1) % lm_scoring.HASHED)) for i, w in zip(ids[at], flat, strict=True))
+    counted = Counter()
+    for b in lm_scoring._count_words(iter([pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["utf8"])] * 2)):
+        counted.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+    assert counted == Counter(flat * 2)
+
+
 def test_large_weights_stay_finite():
     net = lm_scoring.Window.fresh()
     net.classes *= 1e4
