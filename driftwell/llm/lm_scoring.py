@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,16 @@ class Vocabulary:
         self.log_p = np.concatenate([np.zeros(len(frequent), np.int64), np.array([p for _, _, p in known], np.int64), [0, 0]])
 
     def __getitem__(self, word: bytes) -> int:
-        return int(self.numbered([word])[0][max(OFFSETS)])
+        """Of a word as it is cut from a text."""
+        at = self._at.get(word)
+        return self._shared_number(word) if at is None else int(self.numbers[at])
+
+    @cached_property
+    def _at(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.known.to_pylist())}
+
+    def _shared_number(self, word: bytes) -> int:
+        return self.own + (xxhash.xxh64_intdigest(word, 42) >> 1) % self.shared
 
     def numbered(self, texts: pa.Array | list[bytes | None], with_rest: bool = False) -> tuple:
         """Word numbers of all texts with padding around each, where the words are, how many each text has, the sum of
@@ -88,8 +98,7 @@ class Vocabulary:
         rest = words.take(pa.array(missed)).dictionary_encode()
         new, which = rest.dictionary, rest.indices.to_numpy()
         if len(missed):
-            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in new.to_pylist()], np.uint64)
-            found[missed] = (self.own + (hashes >> np.uint64(1)) % np.uint64(self.shared)).astype(found.dtype)[which]
+            found[missed] = np.array([self._shared_number(w) for w in new.to_pylist()], found.dtype)[which]
         text = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(words)) + far * (text + 1)
         numbers = np.full(far + len(words) + far * len(counts), self.words, found.dtype)
